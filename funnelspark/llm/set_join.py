@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelspark.llm.components import connected_components
+from funnelspark.llm.counts import SCHEMA, as_rows, gathered
 from funnelspark.llm.vectext import LOWER, U64, RangeHash, mix, shingle_hashes, signed, slices, text_bytes, words
 from funnelspark.llm.workspace import Workspace
 
@@ -76,28 +77,15 @@ def _sketch(n: int):
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.reshape(16, -1)], pa.binary())], ["block", "counts"])
+            yield as_rows(total)
 
     return run
 
 
-def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            new = np.frombuffer(counts.as_buffer(), "<i8")
-            total[block] = total[block] + new if block in total else new
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-
 def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
     """A byte for each slot that grows with the log of the slot's count over all texts."""
-    sums = texts.select("_text").mapInArrow(_sketch(n), "block int, counts binary").repartition(16, "block").mapInArrow(_add_sketches, "block int, counts binary")
-    total = np.zeros((16, SLOTS // 16), np.int64)
-    for row in sums.collect():  # 16 rows, 2 MB together
-        total[row.block] = np.frombuffer(row.counts, "<i8")
-    return np.minimum(np.log2(total.ravel() + 1) * 6, 255).astype(np.uint8)
+    total = gathered(texts.select("_text").mapInArrow(_sketch(n), SCHEMA), SLOTS)
+    return np.minimum(np.log2(total + 1) * 6, 255).astype(np.uint8)
 
 
 def _ceil(a: int, b: int) -> int:
