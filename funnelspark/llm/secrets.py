@@ -78,7 +78,7 @@ def _tested(found: DataFrame) -> DataFrame:
     bare = F.rtrim(F.col("m"), F.lit("="))
     code = F.when(bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _HEX).when(bare.rlike("^[A-Z2-7]+$"), _B32).otherwise(_B64)
     text = F.when(F.col("code") == _HEX, F.lower("bare")).otherwise(F.translate("bare", "-_", "+/"))
-    t = found.withColumn("bare", bare).withColumn("code", code).withColumn("chars", F.split(text, ""))
+    t = found.withColumn("bare", bare).filter(F.length("bare") >= 20).withColumn("code", code).withColumn("chars", F.split(text, ""))
     t = t.withColumn("chars", F.filter("chars", lambda c: c != "")).withColumn("n", F.size("chars").cast("double")).withColumn("k", F.length("code").cast("double"))
     t = t.withColumn("at", F.transform("chars", lambda c: F.instr(F.col("code"), c).cast("double") - (F.col("k") + 1) / 2))
     squares = F.aggregate(F.array_distinct("at"), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter("at", lambda x: x == d)).cast("double"), F.lit(2.0)))
