@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import bpe, packing, quality, secrets, set_join, suffix_dedup, toxicity, warc
+from funnelspark.llm import ann, bpe, packing, quality, secrets, set_join, suffix_dedup, toxicity, url_filter, warc
 from funnelspark.llm.workspace import Workspace
 
 
+#: Verdict, host and path of the rules that op5 is given.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_bytes")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_bytes", "kept_text")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +66,8 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
