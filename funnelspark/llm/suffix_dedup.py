@@ -39,6 +39,8 @@ from funnelspark.llm.workspace import Workspace
 LENGTH = 200
 #: Length of the substrings that anchor suffixes.
 ANCHOR_BYTES = 64
+#: Windows that are first compared together where suffixes differ.
+CELL = 16
 #: Batches into which one whole table is dealt.
 BATCHES = 4
 
@@ -104,28 +106,67 @@ def _suffixes(length: int, k: int):
     return run
 
 
-def _windows(length: int):
-    """Each window of the listed suffixes: key, its fingerprint with its place from the anchor, start."""
+def _contexts(length: int):
+    """The bytes of all windows of the listed suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _TEXT):
                 data, offs = text_bytes(part.column(1))
-                if len(data) < length:
-                    continue
-                ranges = RangeHash(data)
-                lists = part.column(2)
-                each = np.diff(lists.offsets.to_numpy())
+                raw, lists = data.tobytes(), part.column(2)
+                text = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
-                key, loc, sat = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                text = np.repeat(np.arange(part.num_rows), each)
-                lo, off, n = loc >> 16, (loc >> 8) & 255, (loc & 255) + 1
-                which = np.repeat(np.arange(len(loc)), n)
-                s = ragged(lo + offs[text], n)
-                place = off[which] - (s - lo[which] - offs[text[which]])
-                finger = mix(ranges(s, s + length) + place.astype(U64))
-                rid = part.column(0).to_numpy(zero_copy_only=False)[text[which]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(signed(finger)), pa.array(rid), pa.array(s - offs[text[which]]), pa.array(sat[which])], ["key", "finger", "rid", "at", "sat"])
+                loc = flat.field(1).to_numpy(zero_copy_only=False)
+                a = offs[text] + (loc >> 16)
+                b = a + (loc & 255) + length
+                own = pa.array([raw[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+                rid = part.column(0).to_numpy(zero_copy_only=False)[text]
+                yield pa.RecordBatch.from_arrays([flat.field(0), pa.array(rid), flat.field(1), flat.field(2), own], ["key", "rid", "loc", "sat", "own"])
+
+    return run
+
+
+def _cells(length: int):
+    """For each cell of CELL windows (by place from the anchor) that a suffix has: the fingerprint of the bytes that all windows of the cell share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "own"):
+                data, offs = text_bytes(part.column(4))
+                ranges, loc = RangeHash(data), part.column(2).to_numpy(zero_copy_only=False)
+                off, n = (loc >> 8) & 255, (loc & 255) + 1
+                low, high = (off - n + 1) // CELL, off // CELL  # a window's place is its distance from the anchor
+                each = high - low + 1
+                row = np.repeat(np.arange(len(loc)), each)
+                cell = ragged(low, each)
+                start = offs[row] + off[row] - cell * CELL
+                core = mix(ranges(start, start + length - CELL + 1) + cell.astype(U64))
+                key, rid, sat = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(core)), pa.array(rid), pa.array(loc[row]), pa.array(cell), pa.array(sat)], ["key", "core", "rid", "loc", "cell", "sat"])
+
+    return run
+
+
+def _windows(length: int):
+    """Each window of the suffixes' listed cells: key, its fingerprint with its place, start in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "own"):
+                data, offs = text_bytes(part.column(4))
+                ranges, loc = RangeHash(data), part.column(2).to_numpy(zero_copy_only=False)
+                off, n = (loc >> 8) & 255, (loc & 255) + 1
+                lists = part.column(5)
+                row = np.repeat(np.arange(len(loc)), np.diff(lists.offsets.to_numpy()))
+                cell = lists.flatten().to_numpy(zero_copy_only=False)
+                first = np.maximum(cell * CELL, (off - n + 1)[row])
+                each = np.minimum(cell * CELL + CELL - 1, off[row]) - first + 1
+                row, place = np.repeat(row, each), ragged(first, each)
+                at = off[row] - place
+                start = offs[row] + at
+                finger = mix(ranges(start, start + length) + place.astype(U64))
+                key, rid, sat = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(finger)), pa.array(rid), pa.array((loc >> 16)[row] + at), pa.array(sat)], ["key", "finger", "rid", "at", "sat"])
 
     return run
 
@@ -142,44 +183,59 @@ class SuffixLevels:
         self.marks: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
+        self.work.settle()
         fresh = self.work.write(batch.select(_RID, _TEXT).mapInArrow(_suffixes(self.length, self.anchor), "key long, x long, rid long, loc long"), "suffixes")
-        place = F.struct("rid", "loc")
-        own = fresh.groupBy("key", "x").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-        new = own.select("key", "x", "place", (F.col("n") > 1).alias("sat"), F.lit(True).alias("new"))
-        parts = [new, *(t.select("key", "x", "place", "sat", F.lit(False).alias("new")) for _, t in self.levels)]
+        # first() takes rid and loc from one row; either is null on the other side's rows
+        new, old = F.col("new"), ~F.col("new")
+        own = fresh.groupBy("key", "x").agg(F.first("rid").alias("rid"), F.first("loc").alias("loc"), (F.count("*") > 1).alias("sat"))
+        parts = [own.withColumn("new", F.lit(True)), *(t.withColumn("new", F.lit(False)) for _, t in self.levels)]
+        pick = lambda c, cond: F.max(F.when(cond, F.col(c)))  # noqa: E731  at most one row of each side has it
         scan = reduce(DataFrame.union, parts).groupBy("key", "x").agg(
-            F.min(F.when(F.col("new"), F.col("place"))).alias("place"),
-            ((F.count("*") > 1) | F.max("sat")).alias("sat"),
-            F.min(F.when(~F.col("new") & ~F.col("sat"), F.col("place"))).alias("old"),
+            pick("rid", new).alias("rid"), pick("loc", new).alias("loc"), ((F.count("*") > 1) | F.max("sat")).alias("sat"), pick("rid", old & ~F.col("sat")).alias("old_rid"), pick("loc", old & ~F.col("sat")).alias("old_loc")
         )
-        level = self.work.write(scan.filter("place is not null").sortWithinPartitions("key", "x"), "level")
-        self.marks.append(level.filter("old is not null").select("old.rid", "old.loc"))
+        level = self.work.write(scan.filter("rid is not null").sortWithinPartitions("key", "x"), "level")
         repeated = fresh.join(level.filter("sat").select("key", "x"), ["key", "x"], "left_semi").select("rid", "loc")
-        self.marks.append(self.work.write(repeated, "marks"))
+        self.marks.append(self.work.write(repeated.union(level.filter("old_rid is not null").select("old_rid", "old_loc")), "marks"))
         self.work.drop(fresh)
-        size = 1
+        size, level = 1, self._bare(level)
         while self.levels and self.levels[-1][0] == size:
             n, below = self.levels.pop()
             level = self._merge([below, level])
             size += n
         self.levels.append((size, level))
 
+    @staticmethod
+    def _bare(level: DataFrame) -> DataFrame:
+        out = level.select("key", "x", "rid", "loc", "sat")
+        out._at = level._at
+        return out
+
     def _merge(self, tables: list[DataFrame]) -> DataFrame:
-        both = reduce(DataFrame.union, [t.select("key", "x", "place", "sat") for t in tables])
-        merged = both.groupBy("key", "x").agg(F.min("place").alias("place"), ((F.count("*") > 1) | F.max("sat")).alias("sat"))
-        return self.work.write(merged.sortWithinPartitions("key", "x"), "merged")
+        both = reduce(DataFrame.union, tables)
+        merged = both.groupBy("key", "x").agg(F.first("rid").alias("rid"), F.first("loc").alias("loc"), ((F.count("*") > 1) | F.max("sat")).alias("sat"))
+        out = self.work.write(merged.sortWithinPartitions("key", "x"), "merged")
+        self.work.drop(*tables)
+        return out
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """rid, spans: array of (from, to) in bytes, unsorted; ``docs`` are all texts added, as (_rid, _text)."""
         if not self.levels:
             return docs.select(F.col(_RID).alias("rid"), F.array().cast("array<struct<a:long,b:long>>").alias("spans")).limit(0)
+        self.work.settle()
         whole = self.levels[0][1] if len(self.levels) == 1 else self._merge([t for _, t in self.levels])
         open_keys = whole.groupBy("key").agg(F.count("*").alias("n"), F.min("sat").alias("all")).filter("n > 1 and not all").select("key")
-        boundary = whole.join(open_keys, "key", "left_semi").select("place.rid", F.struct("key", "place.loc", "sat").alias("s"))
+        boundary = whole.join(open_keys, "key", "left_semi").select("rid", F.struct("key", "loc", "sat").alias("s"))
         lists = boundary.groupBy("rid").agg(F.collect_list("s").alias("s"))
-        windows = self.work.write(
-            docs.join(lists, docs[_RID] == lists["rid"]).select(_RID, _TEXT, "s").mapInArrow(_windows(self.length), "key long, finger long, rid long, at long, sat boolean"), "windows"
-        )
+        own = docs.join(lists, docs[_RID] == lists["rid"]).select(_RID, _TEXT, "s").mapInArrow(_contexts(self.length), "key long, rid long, loc long, sat boolean, own binary")
+        own = self.work.write(own, "contexts")
+        self.work.settle()
+        cells = self.work.write(own.mapInArrow(_cells(self.length), "key long, core long, rid long, loc long, cell long, sat boolean"), "cells")
+        shared = cells.groupBy("key", "core").agg(F.count("*").alias("n"), F.min("sat").alias("all")).filter("n > 1 and not all").select("key", "core")
+        some = cells.join(shared, ["key", "core"], "left_semi").groupBy("rid", "loc").agg(F.collect_list("cell").alias("cells"))
+        windows = own.join(some, ["rid", "loc"]).select("key", "rid", "loc", "sat", "own", "cells").mapInArrow(_windows(self.length), "key long, finger long, rid long, at long, sat boolean")
+        windows = self.work.write(windows, "windows")
+        self.work.drop(own, cells)
+        self.work.settle()
         twice = windows.groupBy("key", "finger").agg(F.count("*").alias("n")).filter("n > 1").select("key", "finger")
         found = windows.filter("not sat").join(twice, ["key", "finger"], "left_semi")
         single = found.select("rid", F.col("at").alias("a"), (F.col("at") + self.length).alias("b"))
@@ -189,7 +245,7 @@ class SuffixLevels:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last two columns: text, spans; gives the columns before, then n_bytes, n_removed, n_spans, kept_sha256, kept."""
+    """Last two columns: text, spans; gives the columns before, then those of the result."""
     for batch in batches:
         for part in slices(batch, _TEXT, 1 << 23):
             data, offs = text_bytes(part.column(part.num_columns - 2))
@@ -211,12 +267,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_spans.append(runs)
                 digest.append(hashlib.sha256(text).hexdigest())
                 kept.append(text)
-            new = [pa.array(np.diff(offs)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], *new], [*part.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            new = [pa.array(np.diff(offs)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], *new], [*part.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id_col, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (the remaining bytes)."""
+    """One row per document: id_col, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (the remaining bytes), kept_text (without characters that a cut splits)."""
     text = F.col(text_col).cast("string")
     named = docs.select(F.xxhash64(F.col(id_col), text).alias(_RID), text.alias(_TEXT))
     family = SuffixLevels(docs.sparkSession, length)
@@ -228,4 +284,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys((id_col, *keep)))
     joined = rows.join(spans, rows[_RID] == spans["rid"], "left").select(*dict.fromkeys((id_col, *keep)), _TEXT, "spans")
-    return joined.mapInArrow(_cut, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return joined.mapInArrow(_cut, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, kept_text string")

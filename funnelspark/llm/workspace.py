@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,8 @@ class Workspace:
         for t in tables:
             if getattr(t, "_at", "").startswith(self.root):
                 self._fs.delete(self._path(t._at), True)
+
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of finished steps; it does so when the driver's garbage goes."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
