@@ -21,11 +21,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from funnelspark.llm.workspace import Workspace
+
 #: Segments that the tree tells apart; deeper ones share a template.
 DEPTH = 3
 #: A branch keeps its name from this many standard errors on.
@@ -79,7 +79,10 @@ def templates(judged: DataFrame) -> DataFrame:
     """host, general, template, share of blocked urls, verdict. judged: host, general, ruled (verdict of a rule or null)."""
     nodes = judged.groupBy("host", "general").agg(F.count("*").alias("n"), F.count("ruled").alias("known"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
     nodes = nodes.select("host", "general", F.split("general", "/").alias("seg"), F.lit("").alias("t"), "n", "known", "blocked")
-    nodes = reduce(_branches, range(DEPTH), nodes)
+    work = Workspace(judged.sparkSession, "urls")
+    nodes = work.write(nodes, "nodes")
+    for depth in range(DEPTH):  # a level is read several times by the next: written, the plan doesn't grow
+        nodes = work.write(_branches(nodes, depth), "level")
     above = nodes.agg((F.coalesce(F.sum("blocked"), F.lit(0)) / F.greatest(F.coalesce(F.sum("known"), F.lit(0)), F.lit(1))).alias("all"))
     anywhere = nodes.groupBy("general").agg(F.sum("known").alias("gk"), F.sum("blocked").alias("gb"))
     anywhere = anywhere.crossJoin(F.broadcast(above)).select("general", ((F.col("gb") + PRIOR * F.col("all")) / (F.col("gk") + PRIOR)).alias("prior"))  # above has one row
