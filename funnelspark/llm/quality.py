@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").cast("int").alias("quality")).filter("_id is not null and quality in (0, 1)")
     each = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for q in (0, 1)]
     picked = F.broadcast(each[0].union(each[1]))  # 2 * SAMPLE rows at most
-    sample = work.write(docs.join(picked, docs[id_col] == picked["_id"]).select("quality", F.col(text_col).cast("string").alias("_text")), "sample")
+    sample = work.write(docs.join(picked, docs[id_col] == picked["_id"]).select(picked["quality"], docs[text_col].cast("string").alias("_text")), "sample")
     target = gathered(sample.filter("quality = 1").select("_text").mapInArrow(_count(0), SCHEMA), BINS)
     if not target.any():
         return None, -np.inf

@@ -132,7 +132,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span found replaced by ``mark``; rows without spans are as they were."""
-    found = scan(docs, id_col, text_col).filter(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"])
+    found = scan(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("rid").alias("_found_rid"), F.col("spans").alias("_found_spans")).dropDuplicates(["_found_rid"])
     keyed = docs.withColumn("_rid", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -142,6 +142,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         inside = x["s"] < acc["at"]
         return F.struct(F.greatest(x["e"], acc["at"]).alias("at"), F.when(skip | inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
-    joined = keyed.join(found, keyed["_rid"] == found["rid"], "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("_found_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
+    joined = keyed.join(found, keyed["_rid"] == found["_found_rid"], "left")
+    return joined.withColumn(text_col, F.when(F.col("_found_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)

@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
     picked = F.broadcast(each[0].union(each[1]))  # 2 * SAMPLE rows at most
     work = Workspace(docs.sparkSession, "toxicity")
-    sample = docs.join(picked, docs[id_col] == picked["_id"]).select("toxic", docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[id_col]).alias("h"))
+    sample = docs.join(picked, docs[id_col] == picked["_id"]).select(picked["toxic"], docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[id_col]).alias("h"))
     sample = work.write(sample.orderBy("h", "_text").drop("h").mapInArrow(_rows_of, "toxic int, lang string, rows binary"), "sample").toPandas()
     sample = sample.sort_values(["rows", "toxic"], ignore_index=True)
     texts = [np.frombuffer(x, np.uint16).reshape(-1, 1 + len(PREFIXES)) for x in sample["rows"]]
