@@ -10,6 +10,9 @@ Documents are sets of word shingles; two link when
   similar size. Two blocks of a list are skipped when their sizes can't reach the
   similarity, or when all its positions are too deep in both (a link of two sets has
   its first common shingle in the shorter prefix of the smaller set).
+* In the remaining pairs of blocks, sets whose counts over 256 ranges of hashes already
+  differ too much are skipped: the differences are a lower bound of what the sets don't
+  share. Only the other sets' texts are fetched.
 * Each remaining pair of blocks is worked on once, whatever number of lists has it.
   Within it, a set's overlaps with all sets of the other block are derived from those
   of the set before it: only the shingles in which the two differ are looked up.
@@ -98,10 +101,11 @@ def _described(n: int, percent: int, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                sid, size, prefix = [], [], []
+                sid, size, prefix, ranges = [], [], [], []
                 for s in shingle_sets(*text_bytes(part.column(2)), n):
                     m = len(s)
                     size.append(m)
+                    ranges.append(np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                     if not m:
                         sid.append(None)
                         prefix.append(None)
@@ -111,22 +115,52 @@ def _described(n: int, percent: int, level: np.ndarray):
                     k = m - _ceil(percent * m, 100) + 1
                     prefix.append(np.sort(np.partition(rank, k - 1)[:k] if k < m else rank).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "rid", "sid", "n", "prefix"]
+                    [part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.binary())], ["id", "rid", "sid", "n", "prefix", "ranges"]
                 )
 
     return run
 
 
-def _sets(n: int):
+def _possible(percent: int):
+    """b1, b2, side, sid, n, ranges -> b1, b2, side, sid of the sets that may link with one of the other side."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        return groupby(rows, lambda r: r[:2])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                blobs = [s.tobytes() for s in shingle_sets(*text_bytes(part.column(0)), n)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(blobs, pa.binary())], [*part.schema.names[1:], "s"])
+        out: list[tuple] = []
+        for key, group in groups(batches):
+            sides: list[list[tuple]] = [[], []]
+            for r in group:
+                sides[r[2]].append(r)
+            own = key[0] == key[1]
+            left, right = sides[0], sides[0] if own else sides[1]
+            x, y = (np.frombuffer(b"".join(r[5] for r in side), np.uint8).reshape(-1, 256).astype(np.int16) for side in (left, right))
+            nx, ny = (np.array([r[4] for r in side]) for side in (left, right))
+            hit_y = np.zeros(len(right), bool)
+            for i, r in enumerate(left):
+                both = (nx[i] + ny - np.abs(x[i] - y).sum(axis=1)) // 2
+                ok = 100 * both >= percent * (nx[i] + ny - both)
+                if own:
+                    ok[i] = False
+                hit_y |= ok
+                if ok.any() and not own:
+                    out.append(r[:4])
+            out += [r[:4] for r, hit in zip(right, hit_y.tolist(), strict=True) if hit]
+            if len(out) > 10_000:
+                yield _member_rows(out)
+                out = []
+        if out:
+            yield _member_rows(out)
 
     return run
 
 
+def _member_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["b1", "b2", "side", "sid"])
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
     """For each left set its overlaps with all right sets, derived from the left set before it."""
     tokens = np.concatenate(right)
@@ -152,8 +186,8 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.nd
 def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
     """(sid, root, number of linked documents) of the linked sets of one pair of blocks."""
     sides: list[dict[int, tuple]] = [{}, {}]
-    for side, sid, mult, blob in rows:
-        sides[side][sid] = (np.frombuffer(blob, U64), mult, sid)
+    for side, sid, mult, shingles in rows:
+        sides[side][sid] = (shingles, mult, sid)
     near = lambda x: (int(x[0][0]), len(x[0]), x[2])  # noqa: E731  sets with the same smallest hash are likely similar
     left = sorted(sides[0].values(), key=near)
     right = sorted(sides[1].values(), key=near) if sides[1] else left
@@ -182,10 +216,11 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
     return [(s, find(s), k) for s, k in links.items()]
 
 
-def _verify(percent: int):
+def _verify(n: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            for part in slices(batch, "_text"):
+                yield from zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(*text_bytes(part.column(5)), n), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -207,15 +242,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("_text"))
     level = frequency_levels(texts, n)
-    rows = work.write(texts.mapInArrow(_described(n, percent, level), "id long, rid long, sid long, n long, prefix array<long>"), "documents")
+    rows = work.write(texts.mapInArrow(_described(n, percent, level), "id long, rid long, sid long, n long, prefix array<long>, ranges binary"), "documents")
     sets = work.write(
-        rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("mult"), F.min("id").alias("low"), F.min("rid").alias("rid"), F.first("prefix").alias("prefix")), "sets"
+        rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("mult"), F.min("id").alias("low"), F.min("rid").alias("rid"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")), "sets"
     )
+    slim = work.write(rows.select("id", "sid", "n"), "ids")
+    work.drop(rows)
+    rows = slim
     listed = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
     lists = listed.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1")
     # a position of the shorter prefix, n - ceil(2 * percent * n / (100 + percent)) + 1 long
     early = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
     listed = work.write(listed.join(lists, "tok").select("tok", "sid", "c", early.alias("early"), F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int").alias("band")), "lists")
+    slim = work.write(sets.drop("prefix"), "sets")
+    work.drop(sets)
+    sets = slim
+    work.settle()
     home = listed.groupBy("sid").agg(F.max(F.struct("c", "tok")).alias("h"), F.first("band").alias("band"))
     salt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("h.c") / BLOCK))
     home = work.write(home.select("sid", "band", F.xxhash64("h.tok", "band", salt).alias("block")), "blocks")
@@ -226,14 +268,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a block of one set has no pair within it
     within = home.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
     pairs = work.write(within.union(pairs), "pairs")
-    used = pairs.select(F.explode(F.array("b1", "b2")).alias("block")).distinct()
-    members = home.join(used, "block", "left_semi").join(sets.select("sid", "mult", F.col("rid").alias("witness")), "sid").select("block", "sid", "mult", "witness")
-    filled = texts.join(members, texts["rid"] == members["witness"]).select("_text", "block", "sid", "mult")
-    filled = work.write(filled.mapInArrow(_sets(n), "block long, sid long, mult long, s binary"), "members")
-    one = pairs.join(filled, pairs["b1"] == filled["block"]).select("b1", "b2", F.lit(0).alias("side"), "sid", "mult", "s")
-    two = pairs.filter("b1 <> b2").join(filled, F.col("b2") == filled["block"]).select("b1", "b2", F.lit(1).alias("side"), "sid", "mult", "s")
-    dealt = one.union(two).repartition("b1", "b2").sortWithinPartitions("b1", "b2")
-    found = work.write(dealt.mapInArrow(_verify(percent), "sid long, root long, links long"), "links")
+    work.drop(listed)
+    work.settle()
+    facts = home.join(sets.select("sid", "n", "ranges"), "sid").select("block", "sid", "n", "ranges")
+    one = pairs.join(facts, pairs["b1"] == facts["block"]).select("b1", "b2", F.lit(0).alias("side"), "sid", "n", "ranges")
+    two = pairs.filter("b1 <> b2").join(facts, F.col("b2") == facts["block"]).select("b1", "b2", F.lit(1).alias("side"), "sid", "n", "ranges")
+    near = one.union(two).repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_possible(percent), "b1 long, b2 long, side int, sid long")
+    near = work.write(near, "near")
+    work.settle()
+    used = near.select("sid").distinct().join(sets.select("sid", "mult", F.col("rid").alias("witness")), "sid")
+    filled = work.write(texts.join(used, texts["rid"] == used["witness"]).select("sid", "mult", "_text"), "members")  # texts are smaller than their sets
+    work.settle()
+    dealt = near.join(filled, "sid").select("b1", "b2", "side", "sid", "mult", "_text").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    found = work.write(dealt.mapInArrow(_verify(n, percent), "sid long, root long, links long"), "links")
+    work.drop(filled)
+    work.settle()
     comp = connected_components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), work)
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     lows = comp.join(sets.select(F.col("sid").alias("node"), "low"), "node")
