@@ -28,7 +28,7 @@ def test_jeffreys_interval():
 
 
 def test_adstock_keeps_series_apart(spark):
-    df = spark.createDataFrame([("a", w, x) for w, x in enumerate([1.0, 0, 0, 0])] + [("b", w, 0.0) for w in range(3)], "brand string, week int, tv double")
+    df = spark.createDataFrame([("a", w, x) for w, x in enumerate([1.0, 0.0, 0.0, 0.0])] + [("b", w, 0.0) for w in range(3)], "brand string, week int, tv double")
     rows = M.adstock(df, "tv", ["brand"], "week", 0.5).orderBy("brand", "week").collect()
     assert [r.tv_adstock for r in rows] == [1.0, 0.5, 0.25, 0.125, 0, 0, 0]
 
