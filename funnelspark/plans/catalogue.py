@@ -16,6 +16,7 @@ from funnelspark.operators import bridge as B
 from funnelspark.operators import conversations as C
 from funnelspark.operators import html as H
 from funnelspark.operators import journey as J
+from funnelspark.operators import matching as MT
 from funnelspark.operators import mmm as M
 from funnelspark.operators import qa as Q
 from funnelspark.operators import weekly as W
@@ -664,3 +665,34 @@ def q_hmm(spark, sf):
     code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     seqs = _trail(spark, sf).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", code.alias("c")))), lambda x: x["c"]).alias("seq"))
     return models.Hmm(3, len(KINDS)).fit(seqs, rounds=5).decode(seqs, "session_id").select("session_id", F.array_join("path", ">").alias("path"))
+
+
+# products and platforms
+
+_PRODUCTS = [
+    ("a", "CeraVe Moisturizing Cream 453g", "CeraVe", "moisturizer", None, "CeraVe Moisturizing Cream for dry skin", "cerave", None, "exact"),
+    ("b", "CeraVe Foaming Facial Cleanser", "CeraVe", "cleanser", None, "CeraVe Moisturizing Cream", "cerave", None, "likely"),
+    ("c", "Cetaphil Moisturizing Cream", "Cetaphil", "moisturizer", None, "CeraVe Moisturizing Cream", "cerave", None, "likely"),
+    ("d", "Sun Fluid SPF 30", "Acme", "sun", None, "Acme Sun Fluid SPF 60", "acme", None, "likely"),
+    ("e", "Anything", "", "", "SKU9", "other words", "", "sku9", "exact"),
+    ("f", "Umbrella", "", "", None, "night serum", "", None, "none"),
+    ("g", "JBCA Thickening Conditioner", "JBCA Cosmetics", "", None, "try the JBCA thickening conditioner", "", None, "exact"),
+]
+
+
+@query(f"SELECT id AS product_id, strength AS match_strength, strength IN ('exact', 'strong') AS coincides FROM {_values([(r[0], r[8]) for r in _PRODUCTS], 'id, strength')}")
+def q_match_tiers(spark, sf):
+    rows = spark.createDataFrame([r[:8] for r in _PRODUCTS], "product_id string, name string, brand string, category string, sku string, entity string, b string, s string")
+    products = rows.select("product_id", "name", "brand", "category", "sku", F.lit("").alias("description"), F.lit("").alias("page_brand"), F.array("product_id").alias("message_ids"))
+    few = lambda c: F.filter(F.array(c), lambda x: F.coalesce(x, F.lit("")) != "")
+    mentions = rows.select(F.col("product_id").alias("message_id"), F.col("product_id").alias("mention_id"), "entity", few("b").alias("brands"), F.array().cast("array<string>").alias("sub_brands"), F.array().cast("array<string>").alias("categories"), few("s").alias("skus"))
+    return MT.best_matches(products, mentions).select("product_id", "match_strength", "coincides")
+
+
+_PLATFORMS = [(1, "X-ShopId", "9", "", "shopify"), (2, "cf-ray", "1", '<img src="//cdn.shopify.com/a">', "shopify"), (3, "Server", "cloudflare", "", "cloudflare"), (4, "a", "b", '<meta content="WordPress 6"> woocommerce', "woocommerce"), (5, "a", "b", "plain", "")]
+
+
+@query(f"SELECT id, platform FROM {_values([(r[0], r[4]) for r in _PLATFORMS], 'id, platform')}")
+def q_platform_detect(spark, sf):
+    t = spark.createDataFrame([r[:4] for r in _PLATFORMS], "id int, k string, v string, html string")
+    return t.select("id", MT.detect_platform(F.create_map("k", "v"), F.col("html")).alias("platform"))

@@ -53,3 +53,25 @@ LEDGER = {
     "incrementality": (0.25, 0.10, 0.45, "placeholder"),
     "influence_given_exposure": (0.18, 0.06, 0.35, "placeholder"),
 }
+
+#: Words of products that tell nothing, units that are no identity, forms and their synonyms, brand words too generic to name a brand.
+STOPWORDS = ("the", "and", "for", "with", "a", "an", "of", "to", "in", "on", "skin", "care", "skincare", "product", "products", "oz", "ml", "fl", "pack")
+UNIT_NOISE = r"\b\d+(?:\.\d+)?\s?(?:ml|l|liter|litre|oz|fl ?oz|g|kg|mg|count|ct|pack|pk|pcs|pieces)\b"
+FORMS = {
+    "cream": "cream", "lotion": "lotion", "gel": "gel", "serum": "serum", "essence": "serum", "oil": "oil", "balm": "balm", "ointment": "balm", "wash": "cleanser", "cleanser": "cleanser", "foam": "cleanser",
+    "soap": "cleanser", "spray": "spray", "mist": "spray", "stick": "stick", "bar": "bar", "mask": "mask", "conditioner": "conditioner", "shampoo": "shampoo", "toner": "toner", "exfoliant": "exfoliant", "peel": "exfoliant", "sunscreen": "sunscreen",
+}
+GENERIC_BRAND = "cosmetics beauty skincare labs lab inc llc co company brand official store shop the usa paris london simple pure natural fresh true real basic daily clean".split()
+
+#: Platform signs: header prefixes, server substrings, html substrings, in their order; commerce platforms win over the others.
+COMMERCE = ("shopify", "woocommerce", "bigcommerce", "magento", "salesforce_commerce", "prestashop", "shopware", "squarespace_commerce", "wix_stores")
+HEADER_SIGNS = [
+    ("x-shopify-stage", "shopify"), ("x-shopid", "shopify"), ("x-sorting-hat-shopid", "shopify"), ("x-shardid", "shopify"), ("x-storefront-renderer", "shopify"), ("x-bc-", "bigcommerce"), ("x-magento-", "magento"),
+    ("x-dw-request-base-id", "salesforce_commerce"), ("x-sf-cc-", "salesforce_commerce"), ("x-prestashop-", "prestashop"), ("x-shopware-", "shopware"), ("x-wix-request-id", "wix"), ("x-wix-", "wix"), ("x-contextid", "squarespace"),
+    ("cf-ray", "cloudflare"), ("cf-cache-status", "cloudflare"), ("x-akamai-", "akamai"), ("akamai-", "akamai"), ("x-vercel-", "vercel"), ("x-nf-request-id", "netlify"),
+]
+SERVER_SIGNS = [("cloudflare", "cloudflare"), ("akamai", "akamai"), ("bigcommerce", "bigcommerce"), ("squarespace", "squarespace")]
+HTML_SIGNS = [
+    ("cdn.shopify.com", "shopify"), ("shopify.theme", "shopify"), ("wp-content/plugins/woocommerce", "woocommerce"), ('content="woocommerce', "woocommerce"), ("mage/cookies", "magento"), ("magento_", "magento"),
+    ("demandware.static", "salesforce_commerce"), ("cdn11.bigcommerce.com", "bigcommerce"), ("static.parastorage.com", "wix"), ("static1.squarespace.com", "squarespace"), ("prestashop", "prestashop"), ('content="wordpress', "wordpress"), ("assets.website-files.com", "webflow"),
+]
