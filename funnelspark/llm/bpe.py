@@ -96,17 +96,48 @@ def _as_words(data: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(where) - 1, [None, pa.py_buffer(np.ascontiguousarray(where, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _pieces(table: pa.Table | pa.RecordBatch, at: int) -> Iterator[tuple]:
-    """(batch, bytes, offsets, pre-token offsets, first pre-tokens) of parts of the rows."""
-    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
-        for part in slices(batch, "_text"):
-            data, offs = text_bytes(part.column(at))
-            yield part, data, offs, *pretokens(data, offs)
+def _squeezed(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(blob)
+
+
+def _loosened(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, id, text -> one row for each chunk of a batch: ids, sizes and all texts, compressed together."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk = batch.column(0).to_numpy(zero_copy_only=False)
+        batch = batch.take(pa.array(np.argsort(chunk, kind="stable")))
+        chunk = np.sort(chunk)
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+        data, offs = text_bytes(batch.column(2))
+        raw, ids = data.tobytes(), batch.column(1).to_pylist()
+        ends = list(zip(heads.tolist(), heads[1:].tolist(), strict=False))
+        sizes = [np.diff(offs[a : b + 1]).astype("<i8").tobytes() for a, b in ends]
+        texts = [_squeezed(raw[offs[a] : offs[b]]) for a, b in ends]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[heads[:-1]], pa.int32()), pa.array([ids[a:b] for a, b in ends], pa.list_(pa.int64())), pa.array(sizes, pa.binary()), pa.array(texts, pa.binary())], ["chunk", "ids", "sizes", "texts"])
+
+
+def _pieces(table: pa.Table) -> Iterator[tuple]:
+    """(ids, bytes, offsets, pre-token offsets, first pre-tokens) of parts of a chunk's rows."""
+    for ids, sizes, texts in zip(*(table.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        offs = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
+        column = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offs), pa.py_buffer(_loosened(texts))])
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column], ["id", "_text"]), "_text"):
+            data, offs = text_bytes(part.column(1))
+            yield part.column(0), data, offs, *pretokens(data, offs)
 
 
 def _distinct(table: pa.Table) -> pa.Array:
     """The chunk's distinct words, by bytes."""
-    found = [_as_words(data, where).unique() for _, data, _, where, _ in _pieces(table, 2)]
+    found = [_as_words(data, where).unique() for _, data, _, where, _ in _pieces(table)]
     words = pa.concat_arrays(found).unique() if found else pa.array([], pa.large_binary())
     return words.take(pc.sort_indices(words)) if len(words) else words
 
@@ -127,7 +158,7 @@ def _send(parts: int):
         chunk, rows = table.column(0)[0].as_py(), []
         for p in np.unique(part).tolist():
             data, offs = text_bytes(words.filter(pa.array(part == p)))
-            rows.append({"part": p, "chunk": chunk, "sizes": np.diff(offs).astype("<u4").tobytes(), "words": data.tobytes()})
+            rows.append({"part": p, "chunk": chunk, "sizes": _squeezed(np.diff(offs).astype("<u4").tobytes()), "words": _squeezed(data.tobytes())})
         return pa.Table.from_pylist(rows, _WORDS)
 
     return run
@@ -178,6 +209,7 @@ def _encode(path: str, pattern: str):
             for part, chunk, sizes, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now:
                     now, known = part, {}
+                sizes, words = _loosened(sizes), _loosened(words)
                 ends, a, ids = np.cumsum(np.frombuffer(sizes, "<u4")).tolist(), 0, []
                 for b in ends:
                     word = words[a:b]
@@ -186,7 +218,7 @@ def _encode(path: str, pattern: str):
                         got = known[word] = single(word)
                     ids.append(got)
                 flat = np.array([i for x in ids for i in x], "<u4")
-                out.append({"part": part, "chunk": chunk, "counts": np.array([len(x) for x in ids], "<u4").tobytes(), "ids": flat.tobytes()})
+                out.append({"part": part, "chunk": chunk, "counts": _squeezed(np.array([len(x) for x in ids], "<u4").tobytes()), "ids": _squeezed(flat.tobytes())})
             yield pa.RecordBatch.from_pylist(out, _IDS)
 
     return run
@@ -198,15 +230,15 @@ def _assemble(path: str, pattern: str, parts: int, with_ids: bool):
         words = _distinct(texts)
         by_part = np.argsort(_parts_of(words, parts), kind="stable")
         blobs = sorted(zip(coded.column("part").to_pylist(), coded.column("counts").to_pylist(), coded.column("ids").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c, "<u4") for _, c, _ in blobs)]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for _, _, x in blobs)])
+        counts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(_loosened(c), "<u4") for _, c, _ in blobs)]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(_loosened(x), "<u4") for _, _, x in blobs)])
         if len(counts) != len(words):
             raise ValueError("a chunk's words and their ids differ in number")
         first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         size[by_part] = counts
         first[by_part] = np.cumsum(counts) - counts
         out = []
-        for part, data, _, where, heads in _pieces(texts, 2):
+        for own_ids, data, _, where, heads in _pieces(texts):
             coded_words = _as_words(data, where).dictionary_encode()
             known = pc.index_in(coded_words.dictionary, value_set=words).to_numpy(zero_copy_only=False)
             at = known[coded_words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
@@ -216,7 +248,7 @@ def _assemble(path: str, pattern: str, parts: int, with_ids: bool):
             cuts = np.concatenate([[0], np.cumsum(each)])[bounds]
             le, raw = own.astype("<u4"), raw.tobytes()
             pairs = list(zip(bounds.tolist(), bounds[1:].tolist(), strict=False))
-            cols = [part.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array([hashlib.sha256(le[a:b]).hexdigest() for a, b in pairs], pa.string())]
+            cols = [own_ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array([hashlib.sha256(le[a:b]).hexdigest() for a, b in pairs], pa.string())]
             cols.append(pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.string()))
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(own.astype(np.int32))))
@@ -233,7 +265,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     total = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     chunks = max(1, total // CHUNK_BYTES)
     parts = min(4096, max(16, chunks // 8))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("_text")).repartition("chunk")
+    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("_text"))
+    dealt = dealt.mapInArrow(_bundle, "chunk int, ids array<long>, sizes binary, texts binary").repartition("chunk")
     words = dealt.groupBy("chunk").applyInArrow(_send(parts), "part int, chunk int, sizes binary, words binary")
     coded = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path, pattern), "part int, chunk int, counts binary, ids binary")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
