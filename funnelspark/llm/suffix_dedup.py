@@ -14,7 +14,7 @@ Every byte covered by a ``length``-byte string that also starts anywhere else
   one entry for each ``(key, x)``, so copies don't pile up.
 * Levels with equally many batches merge, so that n batches leave log n levels.
 * At the end, suffixes that share their first ``anchor`` bytes but not all their
-  windows are settled window by window, by 128 bits of key and fingerprint.
+  windows are settled window by window, by a hash of key and window.
 
 Defined cases: null text is empty text; texts under ``length`` bytes lose nothing;
 rows repeated as a whole repeat each other; null ids are ids; an empty table gives
@@ -40,7 +40,7 @@ LENGTH = 200
 #: Length of the substrings that anchor suffixes.
 ANCHOR_BYTES = 64
 #: Windows that are first compared together where suffixes differ.
-CELL = 16
+CELL = 32
 #: Batches into which one whole table is dealt.
 BATCHES = 4
 
@@ -106,6 +106,11 @@ def _suffixes(length: int, k: int):
     return run
 
 
+def _both(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One value for a suffix's key and a fingerprint of bytes around it."""
+    return mix(mix(key.view(U64)) + other)
+
+
 def _contexts(length: int):
     """The bytes of all windows of the listed suffixes."""
 
@@ -142,7 +147,7 @@ def _cells(length: int):
                 start = offs[row] + off[row] - cell * CELL
                 core = mix(ranges(start, start + length - CELL + 1) + cell.astype(U64))
                 key, rid, sat = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(core)), pa.array(rid), pa.array(loc[row]), pa.array(cell), pa.array(sat)], ["key", "core", "rid", "loc", "cell", "sat"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_both(key, core))), pa.array(rid), pa.array(loc[row]), pa.array(cell.astype(np.int8)), pa.array(sat)], ["core", "rid", "loc", "cell", "sat"])
 
     return run
 
@@ -158,7 +163,7 @@ def _windows(length: int):
                 off, n = (loc >> 8) & 255, (loc & 255) + 1
                 lists = part.column(5)
                 row = np.repeat(np.arange(len(loc)), np.diff(lists.offsets.to_numpy()))
-                cell = lists.flatten().to_numpy(zero_copy_only=False)
+                cell = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.maximum(cell * CELL, (off - n + 1)[row])
                 each = np.minimum(cell * CELL + CELL - 1, off[row]) - first + 1
                 row, place = np.repeat(row, each), ragged(first, each)
@@ -166,7 +171,7 @@ def _windows(length: int):
                 start = offs[row] + at
                 finger = mix(ranges(start, start + length) + place.astype(U64))
                 key, rid, sat = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(finger)), pa.array(rid), pa.array((loc >> 16)[row] + at), pa.array(sat)], ["key", "finger", "rid", "at", "sat"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_both(key, finger))), pa.array(rid), pa.array(((loc >> 16)[row] + at).astype(np.int32)), pa.array(sat)], ["finger", "rid", "at", "sat"])
 
     return run
 
@@ -217,8 +222,8 @@ class SuffixLevels:
         self.work.drop(*tables)
         return out
 
-    def spans(self, docs: DataFrame) -> DataFrame:
-        """rid, spans: array of (from, to) in bytes, unsorted; ``docs`` are all texts added, as (_rid, _text)."""
+    def spans(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """rid, spans: array of (from, to) in bytes, unsorted; ``docs`` are all texts added, as (_rid, _text). ``last``: no batch follows, the index may go."""
         if not self.levels:
             return docs.select(F.col(_RID).alias("rid"), F.array().cast("array<struct<a:long,b:long>>").alias("spans")).limit(0)
         self.work.settle()
@@ -228,17 +233,20 @@ class SuffixLevels:
         lists = boundary.groupBy("rid").agg(F.collect_list("s").alias("s"))
         own = docs.join(lists, docs[_RID] == lists["rid"]).select(_RID, _TEXT, "s").mapInArrow(_contexts(self.length), "key long, rid long, loc long, sat boolean, own binary")
         own = self.work.write(own, "contexts")
+        if last:
+            self.work.drop(whole)
+            self.levels = []
         self.work.settle()
-        cells = self.work.write(own.mapInArrow(_cells(self.length), "key long, core long, rid long, loc long, cell long, sat boolean"), "cells")
-        shared = cells.groupBy("key", "core").agg(F.count("*").alias("n"), F.min("sat").alias("all")).filter("n > 1 and not all").select("key", "core")
-        some = cells.join(shared, ["key", "core"], "left_semi").groupBy("rid", "loc").agg(F.collect_list("cell").alias("cells"))
-        windows = own.join(some, ["rid", "loc"]).select("key", "rid", "loc", "sat", "own", "cells").mapInArrow(_windows(self.length), "key long, finger long, rid long, at long, sat boolean")
+        cells = self.work.write(own.mapInArrow(_cells(self.length), "core long, rid long, loc long, cell byte, sat boolean"), "cells")
+        shared = cells.groupBy("core").agg(F.count("*").alias("n"), F.min("sat").alias("all")).filter("n > 1 and not all").select("core")
+        some = cells.join(shared, "core", "left_semi").groupBy("rid", "loc").agg(F.collect_list("cell").alias("cells"))
+        windows = own.join(some, ["rid", "loc"]).select("key", "rid", "loc", "sat", "own", "cells").mapInArrow(_windows(self.length), "finger long, rid long, at int, sat boolean")
         windows = self.work.write(windows, "windows")
         self.work.drop(own, cells)
         self.work.settle()
-        twice = windows.groupBy("key", "finger").agg(F.count("*").alias("n")).filter("n > 1").select("key", "finger")
-        found = windows.filter("not sat").join(twice, ["key", "finger"], "left_semi")
-        single = found.select("rid", F.col("at").alias("a"), (F.col("at") + self.length).alias("b"))
+        twice = windows.groupBy("finger").agg(F.count("*").alias("n"), F.min("sat").alias("all")).filter("n > 1 and not all").select("finger")
+        found = windows.filter("not sat").join(twice, "finger", "left_semi")
+        single = found.select("rid", F.col("at").cast("long").alias("a"), (F.col("at") + self.length).cast("long").alias("b"))
         lo, n = F.shiftright("loc", 16), F.col("loc").bitwiseAND(255)
         runs = reduce(DataFrame.union, self.marks).select("rid", lo.alias("a"), (lo + n + self.length).alias("b"))
         return runs.union(single).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -278,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     family = SuffixLevels(docs.sparkSession, length)
     for i in range(batches):
         family.add(named.filter(F.pmod(F.xxhash64(F.lit(17), _RID), F.lit(batches)) == i))
-    spans = family.spans(named)
+    spans = family.spans(named, last=True)
     extra = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias(_RID), *extra, text.alias(_TEXT))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
