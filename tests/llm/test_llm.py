@@ -212,6 +212,26 @@ def test_quality_rules(spark, docs, nothing):
     assert quality.judge(nothing, labels).count() == 0
 
 
+def test_quality_counts_cover_all_good_documents_and_n_grams(spark):
+    g = random.Random(11)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(7))
+    rows = [(i, " ".join(word() for _ in range(60)), int(i % 4 > 0)) for i in range(1200)]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.judge(table, labels).collect()}
+    raw, target = {}, {}
+    for _, t, q in rows:
+        w = t.split()
+        for x in (*w, *zip(w, w[1:], strict=False)):
+            raw[x] = raw.get(x, 0) + 1
+            target[x] = target.get(x, 0) + q
+    total, grams, distinct = sum(target.values()), sum(raw.values()), len(raw)
+    for i, t, _ in rows[::97]:
+        w = t.split()
+        each = [np.log((target[x] * (grams + distinct) / (raw[x] + 1) + quality.PRIOR) / (total + quality.PRIOR)) for x in (*w, *zip(w, w[1:], strict=False))]
+        assert abs(got[i] - np.mean(each)) < 0.05
+
+
 def test_toxicity_learns_words_and_stems(spark, docs, nothing):
     toxic = lambda t: " ".join([*t.split()[:30], "vilestem" + rng.choice(["a", "xx", "ing", "öd"]), *t.split()[30:]])
     rows = [(i, prose(60) if i % 3 else toxic(prose(60)), "en" if i % 2 else "fr", int(i % 3 == 0)) for i in range(900)]
