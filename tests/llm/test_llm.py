@@ -116,6 +116,27 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_search_and_descent_run_until_they_converge(spark, monkeypatch):
+    n = 200
+    angle = 2 * np.pi * np.arange(n) / n
+    table = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "vec_id long, embedding array<double>")
+    few = table.filter("vec_id < 60")
+    with monkeypatch.context() as m:
+        m.setattr(ann, "SETTLED", -1.0)
+        m.setattr(ann, "ROUNDS", 1)
+        with pytest.raises(RuntimeError, match="not settled"):
+            ann.nearest(few, F.col("vec_id") == 7)
+
+    def ring(nodes, work):  # each node lists its two neighbours only
+        coded = nodes.select("u", "raw").mapInArrow(ann._start, "u long, code binary, scale float")
+        entry = lambda d: F.struct(F.pmod(F.col("u") + d, F.lit(n)).alias("v"), F.lit(float(np.cos(2 * np.pi / n))).cast("float").alias("score"), F.lit(False).alias("fresh"))
+        return work.write(coded.select("u", "code", "scale", F.array(entry(1), entry(-1)).alias("entries"), F.lit(0).alias("changed")))
+
+    monkeypatch.setattr(ann, "nn_descent", ring)
+    got = ann.nearest(table, F.col("vec_id") == 100).collect()
+    assert {r.vec_id for r in got} == {*range(90, 111)} - {100}
+
+
 def test_url_rules_and_tree(spark):
     rules = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "com", "/fr/"))
     urls = ["http://Blog.Example.ORG/es/1?x", "https://a.org", "https://a.org/x#f", "http://borg/x", None, "no url", "http://x.com/de/1", "http://x.com/fr/1", "http://x.com/en/7"] + [f"http://h.com/de/{i}.html" for i in range(30)] + ["http://n.net/de/5.html"]
