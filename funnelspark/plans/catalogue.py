@@ -664,7 +664,7 @@ def q_hmm(spark, sf):
 
     code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     seqs = _trail(spark, sf).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", code.alias("c")))), lambda x: x["c"]).alias("seq"))
-    return models.Hmm(3, len(KINDS)).fit(seqs, rounds=5).decode(seqs, "session_id").select("session_id", F.array_join("path", ">").alias("path"))
+    return models.Hmm(3, len(KINDS)).fit(seqs).decode(seqs, "session_id").select("session_id", F.array_join("path", ">").alias("path"))
 
 
 # products and platforms
