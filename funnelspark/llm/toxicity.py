@@ -5,13 +5,15 @@ lower-cased, so that inflected forms share weight. Filters of widths 1, 2 and 3
 over all words of the text; each filter's largest answer over the whole text goes
 through a logistic layer. Training takes ``SAMPLE`` labelled rows of each class at
 most, chosen by hash; the bias is corrected for the classes' true shares. Then a
-threshold for each language maximises F1 over the training rows of that language
-(languages with few of them take the one for all); it only sets ``flagged``.
+threshold for each language maximises F1 over all labelled rows of that language that
+the fit didn't see (at least one in ``SPARE``), by histograms of their scores; languages
+with few of them take the one for all. It only sets ``flagged``.
 ``held_out`` rows take no part in the fit. Labels, language, source and id are never
 inputs of a score.
 
 Defined cases: null and empty texts score the share of toxic labels; without labels of
-both classes every score is that share (0 if there are none); a document labelled
+both classes every score is that share (0 if there are none); without unseen rows of
+both classes every threshold is ``CUT``; a document labelled
 twice is toxic if one label says so; repeated rows score alike; an empty table gives
 an empty result.
 """
@@ -31,6 +33,8 @@ from funnelspark.llm.workspace import Workspace
 
 #: Labelled rows of each class in the fit, at most.
 SAMPLE = 1500
+#: One labelled row in so many, by hash, is never in the fit; bins of the scores' histograms.
+SPARE, BINS = 5, 4096
 ROWS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
 PREFIXES = (5, 6, 7)
 EPOCHS, RATE, BATCH, DECAY, SEED = 5, 0.02, 64, 1e-4, 7
@@ -157,42 +161,50 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], ["toxic", "lang", "rows"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Model | None, float, dict[str, float], float]:
-    """(model, share of toxic labels, threshold of each language, threshold of the others)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Model | None, float, dict[str, float], float, DataFrame]:
+    """(model, share of toxic labels, threshold of each language, threshold of the others, id_col, _lang and score of all rows)."""
     known = labels.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(id_col, F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    scored = lambda model: rows.mapInArrow(_score(model, prior), f"`{id_col}` {kind}, _lang string, score double")
     if len(n) < 2:
-        return None, prior, {}, CUT
-    each = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
-    picked = F.broadcast(each[0].union(each[1]))  # 2 * SAMPLE rows at most
+        return None, prior, {}, CUT, scored(None)
     work = Workspace(docs.sparkSession, "toxicity")
-    sample = docs.join(picked, docs[id_col] == picked["_id"]).select(picked["toxic"], docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[id_col]).alias("h"))
+    open_ = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(SPARE)) > 0)
+    each = [open_.filter(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
+    picked = work.write(each[0].union(each[1]), "picked")  # 2 * SAMPLE rows at most
+    sample = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select(picked["toxic"], docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[id_col]).alias("h"))
     sample = work.write(sample.orderBy("h", "_text").drop("h").mapInArrow(_rows_of, "toxic int, lang string, rows binary"), "sample").toPandas()
     sample = sample.sort_values(["rows", "toxic"], ignore_index=True)
     texts = [np.frombuffer(x, np.uint16).reshape(-1, 1 + len(PREFIXES)) for x in sample["rows"]]
     toxic = sample["toxic"].to_numpy(float)
-    if not 0 < toxic.mean() < 1:
-        return None, prior, {}, CUT
+    if not len(toxic) or not 0 < toxic.mean() < 1:
+        return None, prior, {}, CUT, scored(None)
     model = train(texts, toxic, prior)
-    answers = model.answers()
-    score = np.array([model.scores(x, np.array([0, len(x)]), answers)[0] for x in texts])
-    weight = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-    cuts = {}
-    for lang, at in sample.groupby("lang").indices.items():
-        if len(at) >= LANG_ROWS and toxic[at].sum() >= LANG_TOXIC:
-            cuts[lang] = _best_cut(score[at], toxic[at], weight[at])
-    return model, prior, cuts, _best_cut(score, toxic, weight)
-
-
-def _best_cut(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """The score with the best F1, halfway to the next lower score."""
-    order = np.argsort(-score, kind="stable")
-    s, hit, all_ = score[order], np.cumsum((toxic * weight)[order]), np.cumsum(weight[order])
-    f1 = 2 * hit / (all_ + (toxic * weight).sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
+    out = work.write(scored(model), "scores")
+    unseen = known.join(F.broadcast(picked.select("_id")), "_id", "left_anti")
+    found = out.join(unseen, out[id_col] == unseen["_id"]).groupBy("_lang", "toxic", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
+    hists: dict[str | None, np.ndarray] = {}
+    for r in found.collect():  # 2 * BINS rows a language at most
+        hists.setdefault(r._lang, np.zeros((2, BINS)))[r.toxic, r.bin] += r["count"]
+    every = sum(hists.values(), np.zeros((2, BINS)))
+    seen = every.sum(axis=1)
+    if not seen.all():
+        return model, prior, {}, CUT, out
+    weight = np.array([1 - prior, prior]) / seen  # the fit takes more of the rarer class
+    cuts = {lang: _best_cut(h, weight) for lang, h in hists.items() if lang is not None and h.sum() >= LANG_ROWS and h[1].sum() >= LANG_TOXIC}
+    return model, prior, cuts, _best_cut(every, weight), out
+
+
+def _best_cut(hist: np.ndarray, weight: np.ndarray) -> float:
+    """The score with the best F1, halfway through the empty bins below it. hist: rows of each class and bin."""
+    at = np.flatnonzero(hist.sum(axis=0))[::-1]
+    rows = hist[:, at] * weight[:, None]
+    f1 = 2 * np.cumsum(rows[1]) / (np.cumsum(rows.sum(axis=0)) + rows[1].sum())
     i = int(f1.argmax())
-    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+    return float((at[i] + at[i + 1] + 1) / 2 / BINS) if i + 1 < len(at) else float(at[i] / BINS)
 
 
 def _score(model: Model | None, prior: float):
@@ -208,10 +220,7 @@ def _score(model: Model | None, prior: float):
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id_col, held_out, score, predicted (score >= CUT), flagged (score >= its language's threshold)."""
-    model, prior, cuts, other = fit(docs, labels, id_col, text_col, lang_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    scored = rows.mapInArrow(_score(model, prior), f"`{id_col}` {kind}, _lang string, score double")
+    _, _, cuts, other, scored = fit(docs, labels, id_col, text_col, lang_col)
     cut = F.lit(other)
     for lang, c in cuts.items():
         cut = F.when(F.col("_lang") == lang, c).otherwise(cut)

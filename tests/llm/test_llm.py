@@ -268,6 +268,16 @@ def test_toxicity_learns_words_and_stems(spark, docs, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    toxic = lambda t: t.replace(" ", " vilestem ", 1)
+    rows = [(i, prose(20) if i % 2 else toxic(prose(20)), "fr" if i % 10 < 2 else "en", int(i % 2 == 0)) for i in range(1500)]
+    table = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    cuts = toxicity.fit(table, labels)[2]
+    assert set(cuts) == {"en", "fr"}  # the fit has 80 rows, fewer than LANG_ROWS
+
+
 def test_secret_scan(docs, nothing):
     found = {}
     for r in secrets.scan(docs).collect():
