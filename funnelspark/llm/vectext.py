@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
+#: Range hashes are two polynomials over the prime field of 2**31 - 1, whose bases and byte values are drawn at random.
+_P = (1 << 31) - 1
 _rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_TABLES = _rng.integers(1, _P, (2, 256), dtype=np.int64).astype(U64)
+_BASES = tuple(_rng.integers(1 << 20, _P, 2, dtype=np.int64).tolist())
 _LENGTH_FACTOR = 0xA24BAED4963EE407
 _powers: dict[int, np.ndarray] = {}
 
@@ -57,13 +58,25 @@ def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values congruent modulo 2**31 - 1, under 2**31 + 4 for any below 2**64."""
+    x = (x & U64(_P)) + (x >> U64(31))
+    return (x & U64(_P)) + (x >> U64(31))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    x = (x & U64(_P)) + (x >> U64(31))
+    return np.where(x == U64(_P), U64(0), x)
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n at least."""
+    """base**i modulo 2**31 - 1 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.ones(1, U64)
         while len(out) < n:
-            out = np.concatenate([out, out * U64(pow(base, len(out), 1 << 64))])
+            out = np.concatenate([out, _residue(out * U64(pow(base, len(out), _P)))])
         _powers[base] = have = out
     return have
 
@@ -78,23 +91,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of ``data`` after one pass over it."""
+    """Hashes of any byte ranges of ``data`` after one pass over it: two residues of 31 bits, mixed with the length.
+
+    The field is prime, so no family of strings collides whatever the base, as alternating
+    patterns do modulo a power of two.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_TABLE[data] * _power(_BASE, n)[:n], out=self.sums[1:])
-        self.back = _power(_BASE_INV, n + 1)
+        self.sums, self.back = [], []
+        for table, base in zip(_TABLES, _BASES, strict=True):
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(_folded(table[data] * _power(base, n)[:n]), out=sums[1:])  # under 2**64 for 2**32 bytes
+            self.sums.append(sums)
+            self.back.append(_power(pow(base, -1, _P), n + 1))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64) * U64(_LENGTH_FACTOR))
+        a, b = (_residue(_residue(s[end] - s[start]) * k[start]) for s, k in zip(self.sums, self.back, strict=True))
+        return mix((a << U64(31) | b) + (end - start).astype(U64) * U64(_LENGTH_FACTOR))
 
     def fixed(self, k: int) -> np.ndarray:
         """Hashes of the k bytes from each position that has k bytes."""
-        m = len(self.sums) - k
+        m = len(self.sums[0]) - k
         if m <= 0:
             return np.zeros(0, U64)
-        return mix((self.sums[k:] - self.sums[:m]) * self.back[:m] + U64(k * _LENGTH_FACTOR % 2**64))
+        a, b = (_residue(_residue(s[k:] - s[:m]) * f[:m]) for s, f in zip(self.sums, self.back, strict=True))
+        return mix((a << U64(31) | b) + U64(k * _LENGTH_FACTOR % 2**64))
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

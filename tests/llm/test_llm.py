@@ -76,6 +76,17 @@ def test_jaccard_join_of_a_family_without_pairs_of_all(spark):
     assert got == brute.components(rows, 3, 90)
 
 
+def test_alternating_patterns_do_not_collide(spark):
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = set_join.similar_documents(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string"), n=3, percent=90).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
+    rows = quality.judge(spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert rows[0].n_dup_lines == 1
+
+
 def test_packing(docs, nothing):
     rows = packing.pack(docs, budget=2000).collect()
     assert len(rows) == len(ROWS) and len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
@@ -167,6 +178,8 @@ def test_bpe_round_trip(docs, nothing):
     decoded = bpe.decode(coded, path, P.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in decoded) == sorted((t or "").encode() for _, t in ROWS)
     assert bpe.encode(nothing, path, P.PATTERN).count() == 0
+    with pytest.raises(ValueError, match="only"):
+        bpe.encode(docs, path, r"\w+")
 
 
 def test_pretokens_split_as_the_pattern():
@@ -199,6 +212,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archives(pages.limit(0)).count() == 0
 
 
+def test_warc_export_keeps_every_record_whatever_the_ids(spark, tmp_path):
+    rows = [(None, "http://x", f"page {i}", "clash") for i in range(6)] + [(5, "http://x", "a", "b"), (5, "http://x", "c", "d")]
+    parts = warc.archives(spark.createDataFrame(rows, "page_id long, url string, html string, archive string").repartition(3))
+    warc.export(parts, str(tmp_path))
+    back = warc.read(warc.archive_files(spark, str(tmp_path))).collect()
+    assert sorted(bytes(r.payload).decode() for r in back) == sorted(h for _, _, h, _ in rows)
+    assert not [f for f in tmp_path.iterdir() if f.name.endswith(".part")]
+
+
 def test_warc_reader_takes_any_pieces_and_rejects_damage():
     data = warc.record("urn:1", "http://x", b"payload") + warc.record("urn:2", "http://y", b"payload", "urn:1")
     for size in (1, 7, len(data)):
@@ -211,6 +233,8 @@ def test_warc_reader_takes_any_pieces_and_rejects_damage():
     with pytest.raises(ValueError, match="inside a record"):
         reader.close()
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(ValueError, match="long as stated"):
+        list(warc.RecordReader().feed(zlib.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\n" + b"x" * (5 << 20), wbits=31)))
     bad = squeeze.compress(zlib.decompress(warc.record("urn:1", "u", b"payload"), 31).replace(b"\r\n\r\npayload", b"\r\n\r\nPAYLOAD")) + squeeze.flush()
     with pytest.raises(ValueError, match="digest"):
         list(warc.RecordReader().feed(bad))
