@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from funnelspark.llm.vectext import U64, RangeHash, ragged, slices, text_bytes
 
 CHUNK_BYTES = 8 << 20
+#: Fixed value: the pattern by which texts are split; no other is taken.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of Unicode, and the contractions that the pattern names.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -168,6 +170,8 @@ class Vocabulary:
     """The ranks of a tiktoken file."""
 
     def __init__(self, path: str, pattern: str):
+        if pattern != PATTERN:
+            raise ValueError(f"texts are split by {PATTERN!r} only")
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = pattern
@@ -261,14 +265,15 @@ def _assemble(path: str, pattern: str, parts: int, with_ids: bool):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per document: id (long), n_tokens, ids_sha256, decoded_sha256 (of the decoded ids), ids array<int> if ``with_ids``."""
+    vocabulary(path, pattern)  # rejects other patterns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     total = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     chunks = max(1, total // CHUNK_BYTES)
     parts = min(4096, max(16, chunks // 8))
     dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("_text"))
-    dealt = dealt.mapInArrow(_bundle, "chunk int, ids array<long>, sizes binary, texts binary").repartition("chunk")
+    dealt = dealt.mapInArrow(_bundle, "chunk int, ids array<long>, sizes binary, texts binary").repartition(max(1, chunks // 2), "chunk")
     words = dealt.groupBy("chunk").applyInArrow(_send(parts), "part int, chunk int, sizes binary, words binary")
-    coded = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path, pattern), "part int, chunk int, counts binary, ids binary")
+    coded = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_encode(path, pattern), "part int, chunk int, counts binary, ids binary")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = dealt.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assemble(path, pattern, parts, with_ids), schema)
     return out.withColumnRenamed("id", id_col)

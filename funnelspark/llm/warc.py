@@ -5,15 +5,18 @@ it can lie in a table on any store that Spark reaches; parts may end anywhere, i
 a record too. ``export`` writes archives as files, ``archive_files`` reads files.
 
 The reader takes an archive's parts in order, undoes gzip with one incremental zlib
-object per member, frames records by Content-Length and verifies block and payload
-digests. What is not a record raises ``ValueError``.
+object per member and a bounded piece at a time, frames records by Content-Length as
+their bytes come and verifies block and payload digests. What is not a record, a member
+longer or shorter than its record among it, raises ``ValueError``.
 
 Pages with equal payloads of ``least`` bytes or more: the one with the smallest id is
 a response, the others are revisits that refer to it and hold no payload, only the
-HTTP header. Defined cases: null html is an empty payload; a page with a null id is a
+HTTP header. An archive's name holds the number of the task that wrote it, so names are unique
+whatever the ids are. Defined cases: null html is an empty payload; a page with a null id is a
 response of its own, and a page repeated with the same id is a response each time;
-control characters and blanks in a url are percent-encoded; an empty table gives no
-archive.
+control characters and blanks in a url are percent-encoded; a payload of any length is
+one record (and, read back, one row: 2 GB at most); ids are longs or text that reads as
+one; other columns, whatever their names, are left alone; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ import base64
 import hashlib
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 LEAST = 0
 #: Bytes of gzip that one part holds, and of payload that one archive holds, about.
 PART_BYTES, ARCHIVE_BYTES = 1 << 20, 64 << 20
+#: Bytes inflated at a time, and of a record's header at most.
+PIECE, HEADER_BYTES = 1 << 20, 1 << 26
 #: Records carry no clock: all have this date.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,16 +72,15 @@ def record(record_id: str, url: str | None, payload: bytes, refers_to: str | Non
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, url, payload, refers_to -> parts."""
-    name, part, held, size, payloads = "", 0, [], 0, 0
+    task, number, part, held, size, payloads = TaskContext.get().partitionId(), 0, 0, [], 0, 0
 
     def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["archive", "part", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:06d}-{number:06d}"]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["archive", "part", "content"])
 
     for batch in batches:
         ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
         for i, url, payload, to in zip(ids, urls, batch.column(2), refers, strict=True):
             body = payload.as_py() or b""
-            name = name or f"pages-{i}"
             held.append(record(f"urn:page:{'' if i is None else i}", url, body, None if to is None else f"urn:page:{to}"))
             size += len(held[-1])
             payloads += len(body)
@@ -81,7 +88,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield full()
                 part, held, size = part + 1, [], 0
             if payloads >= ARCHIVE_BYTES:
-                name, part, payloads = "", 0, 0
+                number, part, payloads = number + 1, 0, 0
     if held:
         yield full()
 
@@ -100,14 +107,20 @@ class RecordReader:
     """Records of one archive, from its bytes in pieces of any size."""
 
     def __init__(self):
-        self._zip, self._text = None, bytearray()
+        self._zip = None
+        self._new()
+
+    def _new(self) -> None:
+        self._text, self._head, self._size = bytearray(), None, 0  # bytes of the member that are not in a finished record, its header, its length
 
     def feed(self, data: bytes) -> Iterator[dict]:
         while data:
             if self._zip is None:
                 self._zip = zlib.decompressobj(31)
-            self._text += self._zip.decompress(data)
-            data = b""
+            self._take(self._zip.decompress(data, PIECE))
+            data = self._zip.unconsumed_tail
+            while not data and not self._zip.eof and (more := self._zip.decompress(b"", PIECE)):
+                self._take(more)
             if self._zip.eof:
                 data, self._zip = self._zip.unused_data, None
                 yield self._record()
@@ -116,17 +129,36 @@ class RecordReader:
         if self._zip is not None or self._text:
             raise ValueError("the archive ends inside a record")
 
+    def _take(self, piece: bytes) -> None:
+        """Add what was inflated; the length is known, and bounds what is held, from the header on."""
+        old = len(self._text)
+        self._text += piece
+        if self._head is None:
+            end = self._text.find(b"\r\n\r\n", max(0, old - 3))
+            if end < 0:
+                if len(self._text) > HEADER_BYTES:
+                    raise ValueError("a member is not a WARC record")
+                return
+            lines = self._text[:end].decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/1."):
+                raise ValueError("a member is not a WARC record")
+            self._head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = self._head.get("content-length", "")
+            if not size.isdigit():
+                raise ValueError(f"{self._head.get('warc-record-id')}: no length is stated")
+            self._size = int(size)
+            del self._text[: end + 4]
+        if len(self._text) > self._size + 4:
+            raise ValueError(f"{self._head.get('warc-record-id')}: the block isn't as long as stated")
+
     def _record(self) -> dict:
-        text, self._text = bytes(self._text), bytearray()
-        end = text.find(b"\r\n\r\n")
-        lines = text[: max(end, 0)].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/1."):
+        head, size, text = self._head, self._size, self._text
+        if head is None:
             raise ValueError("a member is not a WARC record")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head.get("content-length", -1))
-        block = text[end + 4 : end + 4 + size]
-        if size < 0 or len(block) != size or text[end + 4 + size :] != b"\r\n\r\n":
+        if len(text) != size + 4 or text[size:] != b"\r\n\r\n":
             raise ValueError(f"{head.get('warc-record-id')}: the block isn't as long as stated")
+        self._new()
+        block = bytes(memoryview(text)[:size])
         kind = head.get("warc-type")
         http, _, payload = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
         stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
@@ -177,11 +209,18 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(parts: DataFrame, folder: str) -> None:
-    """Write each archive as ``<archive>.warc.gz`` into a folder that all executors mount."""
+    """Write each archive as ``<archive>.warc.gz`` into a folder that all executors mount.
+
+    A file gets its name when it is whole; a task that is tried again starts it anew.
+    """
 
     def save(rows) -> None:
-        for r in rows:
-            with open(os.path.join(folder, f"{r.archive}.warc.gz"), "ab" if r.part else "wb") as f:
-                f.write(r.content)
+        for name, own in groupby(rows, lambda r: r.archive):
+            whole = os.path.join(folder, f"{name}.warc.gz")
+            draft = f"{whole}.{uuid.uuid4().hex}.part"
+            with open(draft, "wb") as f:
+                for r in own:
+                    f.write(r.content)
+            os.replace(draft, whole)
 
     parts.repartition("archive").sortWithinPartitions("archive", "part").foreachPartition(save)
