@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from funnelspark.llm.workspace import unused
+
 #: Number of length buckets, and tokens (padding included) of a batch.
 BUCKETS, BUDGET = 16, 65_536
 #: Lengths up to this have a histogram bin each.
@@ -70,6 +72,7 @@ def best_bounds(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None) -> DataFrame:
     """The rows of ``docs`` with n_tokens, bucket, bucket_len (its bound), batch (in the bucket, from 0), slot (in the batch, from 0)."""
+    h, chunk, before_, at = (unused(c, docs.columns) for c in ("_h", "_chunk", "_before", "_at"))
     docs = docs.drop(*NEW).withColumn("n_tokens", n_words(F.col(text_col).cast("string")) if length is None else length)
     bins = docs.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("top")).orderBy("bin").collect()
     top, n = np.array([r.top for r in bins], np.int64), np.array([r.n for r in bins], np.int64)
@@ -78,11 +81,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     chunks = max(1, int(n.sum()) // CHUNK)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.withColumn("bucket", bucket).withColumn("bucket_len", bound).withColumn("_h", key).withColumn("_chunk", F.pmod("_h", F.lit(chunks)))
-    sizes = docs.select(bucket.alias("bucket"), F.pmod(key, F.lit(chunks)).alias("_chunk")).groupBy("bucket", "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("bucket", "_chunk").orderBy("_h", id_col)) - 1 + F.col("_before")
+    rows = docs.withColumn("bucket", bucket).withColumn("bucket_len", bound).withColumn(h, key).withColumn(chunk, F.pmod(h, F.lit(chunks)))
+    sizes = docs.select(bucket.alias("bucket"), F.pmod(key, F.lit(chunks)).alias(chunk)).groupBy("bucket", chunk).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("bucket").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before_, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("bucket", chunk).orderBy(h, id_col)) - 1 + F.col(before_)
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
-    out = rows.join(sizes, ["bucket", "_chunk"]).withColumn("_at", rank).withColumn("batch", F.floor(F.col("_at") / fits).cast("long")).withColumn("slot", F.pmod("_at", fits).cast("long"))
+    out = rows.join(sizes, ["bucket", chunk]).withColumn(at, rank).withColumn("batch", F.floor(F.col(at) / fits).cast("long")).withColumn("slot", F.pmod(at, fits).cast("long"))
     return out.select(*[c for c in docs.columns if c != "n_tokens"], *NEW)

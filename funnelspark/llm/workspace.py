@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; unset, a folder in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)

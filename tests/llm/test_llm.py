@@ -316,16 +316,30 @@ def test_secret_scan(docs, nothing):
     assert secrets.digest(secrets.scan(nothing)).count() == 0
 
 
-def test_random_keys_are_found_and_words_are_not(spark):
+def test_random_keys_are_found_and_names_are_not(spark):
     g = random.Random(2)
-    keys = ["".join(g.choice(secrets._B64[:62]) for _ in range(44)) for _ in range(60)]
-    plain = ["Averyveryverylongwordwithoutend1" + w for w in VOCAB[:60]]
-    df = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)] + [(100 + i, f"see {w} there") for i, w in enumerate(plain)], "doc_id long, text string")
+    parts = "account user setting report value handler image parse build remote cache index page query table email payment order review status cloud event stream window button field module render".split()
+    names = ["".join(w if i % 5 == 0 else w.capitalize() for w in g.sample(parts, 4)) + g.choice(["", "2", "V3"]) for i in range(60)] + ["_".join(g.sample(parts, 4)) for _ in range(60)] + ["/".join(g.sample(parts, 5)) for _ in range(60)]
+    names = [x for x in names if len(x) >= secrets.LEAST]
+    letters = secrets._DIGITS + secrets._LOWER + secrets._UPPER
+    keys = ["".join(g.choice(a) for _ in range(n)) for a, n in ((letters, 24), (letters + "+/", 40), (letters[:36], 24), (letters[10:36], 26)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"see {k} there", "a", "b") for i, k in enumerate(keys + names)], "doc_id long, text string, _rid string, _spans string")
     rows = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(df)).collect()}
-    assert sum(rows[i] == "random:4:48" for i in range(60)) >= 54
-    assert sum(bool(rows[100 + i]) for i in range(60)) <= 45
+    assert sum(rows[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.95 * len(keys)
+    assert sum(bool(rows[len(keys) + i]) for i in range(len(names))) <= 0.05 * len(names)
+    clean = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert all(clean[i].text == ("see [secret] there" if rows[i] else f"see {k} there") and clean[i]._rid == "a" for i, k in enumerate(keys))
+
+
+def test_secret_scan_of_many_matches_and_overlaps(spark):
+    g = random.Random(4)
+    hexes = ["".join(g.choice("0123456789abcdef") for _ in range(26)) for _ in range(1000)]
+    texts = ["é ".join(hexes), "token=" + hexes[0] + "AKIA" + "A" * 20 + " x" * 300, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.base for r in secrets.scan(df).collect()}
+    assert all([(x.s, x.k, x.e) for x in found[i]] == brute.base_secrets(t) for i, t in enumerate(texts))
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
-    assert clean[0] == ("see [secret] there" if rows[0] else df.first().text)
+    assert clean == {0: "é ".join(["[secret]"] * 1000), 1: "[secret]" + " x" * 300, 2: "x"}
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
