@@ -21,6 +21,7 @@ columns that clash with the new ones are replaced.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ LEAST_BINS, BINS_EACH = 1 << 16, 64
 #: Registers (a power of two) of the sketch that counts distinct n-grams.
 REGISTERS = 1 << 14
 #: Bytes and texts of a bundle, about.
-BUNDLE, BUNDLE_TEXTS = 4 << 20, 50_000
+BUNDLE, BUNDLE_TEXTS = 8 << 20, 50_000
 #: Bytes of sums that a task holds before it hands them on.
 HELD = 64 << 20
 #: Fixed point of the sums, and bins of the labelled scores' histogram for each unit.
@@ -148,14 +149,53 @@ def _sizes(texts: DataFrame) -> tuple[int, int]:
     return n, max(1, round(float(guess)))
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 32-bit numbers, compressed byte by byte."""
-    return pa.compress(b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns), "zstd", asbytes=True)
+def _bits(x: np.ndarray, k: int) -> bytes:
+    """The low k bits of each value, one after the other."""
+    return np.packbits((x[:, None] >> np.arange(k)).astype(np.uint8) & 1).tobytes()
 
 
-def _unpacked(blob: bytes, rows: int, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob, rows * columns * 4, "zstd"), np.uint8).reshape(columns, 4, rows)
-    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in raw]
+def _unbits(raw: memoryview, n: int, k: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n * k).reshape(n, k).astype(np.int64) @ (1 << np.arange(k))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Values byte by byte, as many bytes as the largest one needs."""
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([size]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _packed(bin_: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
+    """Entries by bin and text: what is evenly spread as bits, the rest (gaps' high bits, texts of a bin, gaps between them, counts) compressed."""
+    new = np.diff(bin_, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    gap, own = np.diff(bin_[first], prepend=0), doc[first]
+    k, kd = int(gap.mean() + 1).bit_length() - 1, int(own.max()).bit_length()
+    small = b"".join(map(_planes, (gap >> k, np.diff(first, append=len(bin_)) - 1, np.diff(doc, prepend=0)[~new] - 1, times - 1)))
+    return struct.pack("<IIBB", len(first), len(small), k, kd) + _bits(gap, k) + _bits(own, kd) + pa.compress(small, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, rows: int) -> list[np.ndarray]:
+    """bin, text and count of each entry."""
+    n, size, k, kd = struct.unpack_from("<IIBB", blob)
+    raw = memoryview(blob)
+    a = struct.calcsize("<IIBB")
+    b = a + (n * k + 7) // 8
+    c = b + (n * kd + 7) // 8
+    small, at, columns = np.frombuffer(pa.decompress(raw[c:], size, "zstd"), np.uint8), 0, []
+    for m in (n, n, rows - n, rows):
+        wide = int(small[at])
+        each = small[at + 1 : at + 1 + m * wide].reshape(wide, m).astype(np.int64)
+        columns.append((each << (8 * np.arange(wide))[:, None]).sum(axis=0))
+        at += 1 + m * wide
+    high, more, ahead, times = columns
+    first = np.cumsum(more + 1) - more - 1
+    bin_ = np.repeat(np.cumsum((high << k) + _unbits(raw[a:b], n, k)), more + 1)
+    step = np.zeros(rows, np.int64)
+    later = np.ones(rows, bool)
+    later[first] = False
+    step[later] = ahead + 1
+    total = np.cumsum(step)
+    return [bin_, np.repeat(_unbits(raw[b:c], n, kd) - total[first], more + 1) + total, times + 1]
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -208,7 +248,7 @@ def _sent(bins: int, blocks: int, parts: int):
         bin_, doc = (key >> U64(17)).astype(np.int64), (key & U64((1 << 17) - 1)).astype(np.int64)
         block = bin_ // width
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist() if len(block) else [0]
-        blobs = [_packed(np.diff(bin_[a:b] - block[a] * width, prepend=0), doc[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        blobs = [_packed(bin_[a:b] - block[a] * width, doc[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         first = block[cuts[:-1]]
         return pa.RecordBatch.from_arrays([pa.array(first % parts, pa.int32()), pa.array(first, pa.int64()), pa.array(np.full(len(first), bundle)), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "block", "bundle", "n", "blob"])
 
@@ -244,7 +284,7 @@ def _added(grams: int, distinct: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            blobs = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in sums.values()]
+            blobs = [pa.compress(np.ascontiguousarray(np.concatenate([x[:2], x[2:] - x[1:2]]).view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), "zstd", asbytes=True) for x in sums.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.shape[1] for x in sums.values()], pa.int32()), pa.array(blobs, pa.binary())], ["bundle", "n", "blob"])
 
         for rows in _grouped(batches, 2):
@@ -253,8 +293,8 @@ def _added(grams: int, distinct: int):
                 continue
             if not all(r[2] in labels for r in rows):
                 raise RuntimeError("the documents came in another order when they were read again; write them to a table first")
-            each = [_unpacked(r[4], r[3], 3) for r in rows]
-            at = np.unique(np.concatenate([np.cumsum(p[0]) for p in each]), return_inverse=True)[1]
+            each = [_unpacked(r[4], r[3]) for r in rows]
+            at = np.unique(np.concatenate([p[0] for p in each]), return_inverse=True)[1]
             times = np.concatenate([p[2] for p in each])
             own = times * np.concatenate([labels[r[2]][p[1]] == 1 for r, p in zip(rows, each, strict=True)])
             raw = ((np.bincount(at, weights=times) + 1) / (grams + distinct))[at]
@@ -285,7 +325,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, n, hashes, qualities, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             total = np.zeros((3, n), "<i8")
             for blob in blobs or []:
-                total += np.frombuffer(pa.decompress(blob, n * 24, "zstd"), "<i8").reshape(3, n)
+                each = np.frombuffer(pa.decompress(blob, n * 24, "zstd"), np.uint8).reshape(3, 8, n).transpose(0, 2, 1)
+                total += np.ascontiguousarray(each).view("<i8").reshape(3, n)
+            total[2] += total[1]
             h = np.frombuffer(pa.decompress(hashes, n * 8, "zstd"), "<i8")
             q = np.frombuffer(pa.decompress(qualities, n, "zstd"), "i1")
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(q.astype(np.int64)), pa.array(total[0]), pa.array(total[1] / FIXED), pa.array(total[2] / FIXED)], ["h", "quality", "n", "whole", "without"])
