@@ -242,9 +242,13 @@ def _sent(bins: int, blocks: int, parts: int):
     width = bins // blocks
 
     def of(bundle: int, rows: pa.RecordBatch) -> pa.RecordBatch:
-        gram, doc = Features(*text_bytes(rows.column(3))).grams()
-        key, times = np.unique((gram & U64(bins - 1)) << U64(17) | doc.astype(U64), return_counts=True)  # a bundle has fewer texts than 2^17
-        del gram, doc
+        keys, at = [], 0
+        for part in slices(rows, "_text"):  # hashing takes many times the room of its bytes
+            gram, doc = Features(*text_bytes(part.column(3))).grams()
+            keys.append((gram & U64(bins - 1)) << U64(17) | (doc + at).astype(U64))  # a bundle has fewer texts than 2^17
+            at += part.num_rows
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        del keys, gram, doc
         bin_, doc = (key >> U64(17)).astype(np.int64), (key & U64((1 << 17) - 1)).astype(np.int64)
         block = bin_ // width
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist() if len(block) else [0]
