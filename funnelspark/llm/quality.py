@@ -234,6 +234,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bundle", "n", "hashes", "qualities"])
 
 
+def _sums_blob(sums: np.ndarray) -> bytes:
+    """n-grams, sum and (as its difference) sum without the own counts of each text, compressed byte by byte."""
+    x = np.concatenate([sums[:2], sums[2:] - sums[1:2]]).astype("<i8")
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), "zstd", asbytes=True)
+
+
 _SENT = "part int, block long, bundle long, n int, blob binary"
 
 
@@ -242,10 +248,11 @@ def _sent(bins: int, blocks: int, parts: int):
     width = bins // blocks
 
     def of(bundle: int, rows: pa.RecordBatch) -> pa.RecordBatch:
-        keys, at = [], 0
+        keys, at, n = [], 0, np.zeros((3, rows.num_rows), np.int64)
         for part in slices(rows, "_text"):  # hashing takes many times the room of its bytes
             gram, doc = Features(*text_bytes(part.column(3))).grams()
             keys.append((gram & U64(bins - 1)) << U64(17) | (doc + at).astype(U64))  # a bundle has fewer texts than 2^17
+            n[0, at : at + part.num_rows] = np.bincount(doc, minlength=part.num_rows)
             at += part.num_rows
         key, times = np.unique(np.concatenate(keys), return_counts=True)
         del keys, gram, doc
@@ -253,8 +260,10 @@ def _sent(bins: int, blocks: int, parts: int):
         block = bin_ // width
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist() if len(block) else [0]
         blobs = [_packed(bin_[a:b] - block[a] * width, doc[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        first = block[cuts[:-1]]
-        return pa.RecordBatch.from_arrays([pa.array(first % parts, pa.int32()), pa.array(first, pa.int64()), pa.array(np.full(len(first), bundle)), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "block", "bundle", "n", "blob"])
+        first = np.concatenate([[-2], block[cuts[:-1]]])  # block -2: the texts' numbers of n-grams
+        part = np.concatenate([[bundle % parts], first[1:] % parts])
+        sizes = pa.array([rows.num_rows, *np.diff(cuts).tolist()], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(first, pa.int64()), pa.array(np.full(len(first), bundle)), sizes, pa.array([_sums_blob(n), *blobs], pa.binary())], ["part", "block", "bundle", "n", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bundle, rows in _bundles(batches):
@@ -279,7 +288,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[
 def _added(grams: int, distinct: int):
     """part, block, bundle, n, blob by part and block -> what blocks add to each text of a bundle: n-grams, sum, sum as if it were not in the target.
 
-    The first rows of a part (block -1) are the labels of all bundles.
+    The first rows of a part are numbers of n-grams, which go on as they are (block -2), and the labels of all bundles (block -1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +297,13 @@ def _added(grams: int, distinct: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            blobs = [pa.compress(np.ascontiguousarray(np.concatenate([x[:2], x[2:] - x[1:2]]).view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), "zstd", asbytes=True) for x in sums.values()]
+            blobs = [_sums_blob(x) for x in sums.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.shape[1] for x in sums.values()], pa.int32()), pa.array(blobs, pa.binary())], ["bundle", "n", "blob"])
 
         for rows in _grouped(batches, 2):
+            if rows[0][1] == -2:
+                yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.binary())], ["bundle", "n", "blob"])
+                continue
             if rows[0][1] < 0:
                 labels = {r[2]: np.frombuffer(pa.decompress(r[4], r[3], "zstd"), "i1") for r in rows}
                 continue
@@ -311,7 +323,7 @@ def _added(grams: int, distinct: int):
                 if r[2] not in sums:
                     sums[r[2]] = np.zeros((3, n), "<i8")
                     size += sums[r[2]].nbytes
-                for i, x in enumerate((times, whole, without)):
+                for i, x in ((1, whole), (2, without)):
                     np.add.at(sums[r[2]][i], p[1], x[a:b].astype(np.int64))
                 a = b
             if size > HELD:
