@@ -85,3 +85,72 @@ def padding(lengths: list[int], buckets: int) -> int:
             total = sum(next(b for b in bounds if b >= x) - x for x in lengths)
             best = total if best is None else min(best, total)
     return best or 0
+
+
+def url_tree(rows: list[tuple[str, str, str | None]], wide: int, enough: int, differs: float, prior: float, reject: float) -> dict[tuple[str, str], tuple[str, float, str]]:
+    """(host, path) -> template, share, verdict. rows: host, path, verdict of a rule or None."""
+    general = lambda path: tuple(re.sub(r"^(?=[^.]*[0-9])([^.])[^.]*", r"\1*", s) for s in (path[1:] if path[:1] == "/" else path).split("/"))
+    count = defaultdict(lambda: [0, 0, 0])
+    for h, p, v in rows:
+        c = count[h, general(p)]
+        c[0] += 1
+        c[1] += v is not None
+        c[2] += v == "block"
+    where = dict.fromkeys(count, "")
+    active = set(count)
+
+    def test(k1, b1, k, b):
+        k2, b2 = k - k1, b - b1
+        if not k1 or not k2:
+            return False
+        p = b / k
+        error = (p * (1 - p) * (1 / k1 + 1 / k2)) ** 0.5
+        return error > 0 and abs(b1 / k1 - b2 / k2) > differs * error
+
+    depth = 0
+    while active:
+        groups = defaultdict(list)
+        for x in active:
+            groups[x[0], where[x]].append(x)
+        seg = {}
+        for own in groups.values():
+            values = {x[1][depth] for x in own}
+            variable = len(values) > wide and 2 * len(values) > sum(count[x][0] for x in own)
+            for x in own:
+                s = x[1][depth]
+                tail = re.search(r"[^.](\..*)?$", s)
+                seg[x] = s[:1] + "*" + ((tail[1] or "") if tail else "") if variable and "*" not in s else s
+        host, every = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for x in active:
+            t = where[x]
+            for table, keys in ((host, ((x[0], t, seg[x]), (x[0], t))), (every, ((t, seg[x]), (t,)))):
+                for key in keys:
+                    table[key][0] += count[x][1]
+                    table[key][1] += count[x][2]
+        new, going = {}, set()
+        for (h, t), own in groups.items():
+            for x in own:
+                (k, b), (hk, hb) = host[h, t, seg[x]], host[h, t]
+                named = test(k, b, hk, hb) if k >= enough and hk - k >= enough else test(*every[t, seg[x]], *every[t,])
+                new[x] = f"{t}/{seg[x] if named else '*'}"
+                if len(x[1]) > depth + 1:
+                    if len(own) == 1:
+                        new[x] += "/**"
+                    else:
+                        going.add(x)
+        where.update(new)
+        active, depth = going, depth + 1
+    total = [sum(c[i] for c in count.values()) for i in range(3)]
+    above = total[2] / max(total[1], 1)
+    host, every = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for x, t in where.items():
+        for c in (host[x[0], t], every[t]):
+            c[0] += count[x][1]
+            c[1] += count[x][2]
+    out = {}
+    for h, p, _ in rows:
+        t = where[h, general(p)]
+        (k, b), (gk, gb) = host[h, t], every[t]
+        share = (b + prior * (gb + prior * above) / (gk + prior)) / (k + prior)
+        out[h, p] = (t, share, "block" if share >= reject else "allow")
+    return out

@@ -160,6 +160,27 @@ def test_url_rules_and_tree(spark):
     assert by[6].verdict == "block" and by[7].verdict == "allow" and by[9].rule == "com/de/" and by[39].verdict == "block"
 
 
+def test_url_tree_equals_its_plain_version(spark):
+    g = random.Random(9)
+    rules = (("allow", "org", "/"), ("block", "a.org", "/es/"), ("block", "a.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "org", "/x/y/z/deep/bad/"), ("allow", "long.org", "/"))
+    hosts = ["a.org", "b.a.org", "c.com", "d.net", "e.net", "f.org"]
+    urls = [f"http://{g.choice(hosts)}/{g.choice(['en', 'de', 'fr', 'es'])}/{g.randint(0, 4000)}{g.choice(['', '/', '.html', '?q=1'])}" for _ in range(1500)]
+    urls += [f"http://{h}/x/y/z/deep/{g.choice(['good', 'bad'])}/{i}" for h in ("f.org", "d.net") for i in range(60)]
+    urls += [f"http://e.net/blog/{''.join(g.choice(VOCAB) for _ in range(3))}.v" for _ in range(60)] + ["http://long.org/" + "/".join(["p"] * 400), None, "", "no url", "http://", "http://q.net"]
+    rows = url_filter.judge(spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, general string, id string"), rules).collect()
+    own = {r.page_id: r for r in rows}
+    assert len(rows) == len(urls)
+    verdict = {f"{h}{p}": v for v, h, p in rules}
+    want = brute.url_tree([(own[i].host, own[i].path, verdict.get(own[i].rule)) for i in own], url_filter.WIDE, url_filter.ENOUGH, url_filter.DIFFERS, url_filter.PRIOR, url_filter.REJECT)
+    for r in rows:
+        t, share, v = want[r.host, r.path]
+        assert (r.template, round(r.share, 9), r.verdict) == (t, round(share, 9), verdict.get(r.rule, v)), r
+    by = {u: own[i] for i, u in enumerate(urls)}
+    net = [r for r in rows if r.host == "d.net"]
+    assert {r.verdict for r in net if r.path.startswith("/es/")} == {"block"} and {r.verdict for r in net if r.path.startswith("/fr/")} == {"allow"}
+    assert {r.verdict for r in net if "/deep/" in r.path} == {"allow", "block"} and by[None].verdict == "allow"
+
+
 def test_bpe_round_trip(docs, nothing):
     P = pytest.importorskip("public_tokenizers")
     import tiktoken
