@@ -3,6 +3,7 @@
 import pytest
 from harness import differences, duck
 
+from funnelspark.plans import audit  # noqa: F401  registers its queries
 from funnelspark.plans.catalogue import ORACLE, QUERIES
 
 
