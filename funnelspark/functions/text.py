@@ -47,9 +47,9 @@ def lexicon_sentiment(text: Column, positive: list[str] = vocab.POSITIVE, negati
     before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
     hit = lambda w: F.when(member(w, positive), 1).when(member(w, negative), -1).otherwise(0)
     hits = F.zip_with(words, before, lambda w, b: F.when(member(b, negators), -hit(w)).otherwise(hit(w)))
-    net = F.aggregate(hits, F.lit(0), lambda a, x: a + x)
-    n = F.aggregate(hits, F.lit(0), lambda a, x: a + F.abs(x))
-    return F.when(n > 0, F.bround(net / F.greatest(n, F.lit(1)), 4)).otherwise(0.0)
+    step = lambda a, x: F.struct((a["net"] + x).alias("net"), (a["n"] + F.abs(x)).alias("n"))  # noqa: E731  one pass over the words
+    start = F.struct(F.lit(0).alias("net"), F.lit(0).alias("n"))
+    return F.aggregate(hits, start, step, lambda a: F.when(a["n"] > 0, F.bround(a["net"] / F.greatest(a["n"], F.lit(1)), 4)).otherwise(0.0))
 
 
 def extract_terms(text: Column, aliases: dict[str, str]) -> Column:

@@ -38,23 +38,34 @@ def canonical_brand(raw: Column, domain: Column, aliases: dict[str, str], domain
     return F.coalesce(table(aliases, F.lower(F.trim(raw))), table(domains, F.lower(domain)), F.trim(raw))
 
 
-#: Paths of logins, titles of error pages, phrases of carts, prices.
-LOGIN_PATH = r"/(log-?in|sign-?in|auth|account/login)(/|$|\?)"
-ERROR_TITLE = r"(?i)\b(404|403|500|not found|page unavailable|access denied|forbidden|error|just a moment|robot check|captcha)\b"
-CART_PHRASE = r"(?i)\b(add to (cart|bag|basket)|buy now)\b"
-PRICE = r"(?:[$€£]\s?\d[\d,]*(?:\.\d{2})?|\d[\d,]*(?:\.\d{2})?\s?(?:USD|EUR|GBP))"
-
-
-def soft_error(url: Column, title: Column, n_words: Column, has_jsonld: Column, thin: int = 25, short: int = 300) -> Column:
-    """Pages that answer but hold nothing: a login, a thin shell without title or markup, an error's title on a short page."""
-    empty = (n_words < thin) & (F.coalesce(title, F.lit("")) == "") & ~has_jsonld
-    return F.lower(url).rlike(LOGIN_PATH) | empty | (F.coalesce(title, F.lit("")).rlike(ERROR_TITLE) & (n_words < short))
-
-
-def decisive_mismatch(page_category: Column, page_subtype: Column, url_category: Column, url_subtype: Column, decisive: tuple[str, ...]) -> Column:
-    """'category' or 'subtype' where a url decides by itself and the page says otherwise; null elsewhere."""
-    proof = url_subtype.isin(*decisive)
-    return F.when(proof & ~page_category.eqNullSafe(url_category), "category").when(proof & ~page_subtype.eqNullSafe(url_subtype), "subtype")
+#: Paths of logins, what error pages say in title and headings, phrases of carts, prices.
+LOGIN_PATH = r"wp-login|/login|/signin|/sign-in|/sso/|/auth/"
+ERROR_TITLE = (
+    r"page not found|not found|does not exist|error 4\d\d|\b40[1348]\b|forbidden|access denied|not allowed|not permitted|log ?in|sign ?in|session (has )?expired|link (has )?expired|"
+    r"invalid (link|request|nonce|token|preview)|preview (unavailable|expired)|something went wrong|are you lost"
+)
+CART_PHRASE = r"add to (?:cart|bag|basket)|buy now|add-to-cart|checkout|proceed to (?:checkout|pay)"
+PRICE = r"(?:[$£€¥]|USD|EUR|GBP)\s?\d[\d.,]*|\d[\d.,]*\s?(?:[$£€¥]|USD|EUR|GBP|dollars?)"
+
+
+def soft_error(url: Column, title: Column, headings: Column, n_words: Column, has_jsonld: Column, thin: int = 25, short: int = 300) -> Column:
+    """Pages that answer but hold nothing: a login, a thin shell without title or markup, an error's title or heading on a short page."""
+    title = F.coalesce(title, F.lit(""))
+    empty = (n_words < thin) & (title == "") & ~has_jsonld
+    head = F.concat_ws(" ", title, F.array_join(F.slice(F.coalesce(headings, F.array().cast("array<string>")), 1, 2), " "))
+    return F.lower(url).rlike(LOGIN_PATH) | empty | (head.rlike(f"(?i){ERROR_TITLE}") & (n_words < short))
+
+
+def commerce_signs(text: Column, links: Column, has_price_markup: Column) -> dict[str, Column]:
+    """Whether a page has a price (in markup or text) and a way to buy (in its text's first 4,000 characters or its links)."""
+    blob = F.concat_ws(" ", F.substring(F.coalesce(text, F.lit("")), 1, 4000), F.array_join(F.coalesce(links, F.array().cast("array<string>")), " "))
+    return {"has_price": F.coalesce(has_price_markup, F.lit(False)) | F.coalesce(text, F.lit("")).rlike(f"(?i){PRICE}"), "has_add_to_cart": blob.rlike(f"(?i){CART_PHRASE}")}
+
+
+def decisive_mismatch(category: Column, subtype: Column, url_category: Column, url_subtype: Column, url_relevant: Column, url_proves: Column) -> Column:
+    """'category' where a stored page is off-topic or unknown but its url decides, 'subtype' where a shopping page's url proves another one; null elsewhere."""
+    decides = ~url_category.isin("unknown", "unrelated") & url_relevant
+    return F.when(category.isin("unrelated", "unknown") & decides, "category").when((category == "shopping") & url_proves & ~subtype.eqNullSafe(url_subtype), "subtype")
 
 
 def top_votes(votes: Column, k: int = 3, least: float = 0.15, skip: tuple[str, ...] = ("other",)) -> Column:

@@ -219,11 +219,17 @@ def q_page_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", A.stable_id(url, 1000).alias("id"), A.clean_none(raw).alias("url"), F.array_join(A.name_set(names), "|").alias("names"))
 
 
+_ERROR = A.ERROR_TITLE.replace("'", "''")
+
+
 @query(
-    r"""SELECT page_id, regexp_matches(lower(url), '/(log-?in|sign-?in|auth|account/login)(/|$|\?)') OR (n < 25 AND title = '') OR (n < 300 AND regexp_matches(title, '(?i)\b(404|403|500|not found|page unavailable|access denied|forbidden|error|just a moment|robot check|captcha)\b')) AS soft_error
-      FROM (SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN '404 not found' WHEN page_id % 4 = 1 THEN '' ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS title, len(regexp_extract_all(substr(html, 1, 100 * (page_id % 40)), '\w+')) AS n FROM pages)"""
+    rf"""SELECT page_id, regexp_matches(lower(url), '{A.LOGIN_PATH}') OR (n < 25 AND title = '') OR (n < 300 AND regexp_matches(title || ' ' || h, '(?i){_ERROR}')) AS soft_error,
+        regexp_matches(html, '(?i){A.PRICE}') AS has_price, regexp_matches(substr(html, 1, 4000) || ' ' || url, '(?i){A.CART_PHRASE}') AS has_add_to_cart
+      FROM (SELECT page_id, url, html, CASE WHEN page_id % 4 = 0 THEN '404 not found' WHEN page_id % 4 = 1 THEN '' ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS title, regexp_extract(html, '<h1>([^<]*)', 1) AS h,
+        len(regexp_extract_all(substr(html, 1, 100 * (page_id % 40)), '\w+')) AS n FROM pages)"""
 )
 def q_soft_error(spark, sf):
     title = F.when(F.col("page_id") % 4 == 0, "404 not found").when(F.col("page_id") % 4 == 1, "").otherwise(F.regexp_extract("html", "<title>([^<]*)", 1))
     n = F.size(F.regexp_extract_all(F.substring(F.col("html"), F.lit(1), (F.col("page_id") % 40 * 100).cast("int")), F.lit(r"\w+"), F.lit(0)))
-    return table(spark, sf, "pages").select("page_id", A.soft_error(F.col("url"), title, n, F.lit(False)).alias("soft_error"))
+    signs = A.commerce_signs(F.col("html"), F.array("url"), F.lit(False))
+    return table(spark, sf, "pages").select("page_id", A.soft_error(F.col("url"), title, F.array(F.regexp_extract("html", "<h1>([^<]*)", 1)), n, F.lit(False)).alias("soft_error"), *[v.alias(k) for k, v in signs.items()])
