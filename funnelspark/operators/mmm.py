@@ -114,3 +114,41 @@ def accuracy(df: DataFrame, target: str) -> DataFrame:
     y, e = F.col(target).cast("double"), F.col(target).cast("double") - F.col("predicted")
     total = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count("*")
     return df.agg((1 - F.try_divide(F.sum(e * e), F.nullif(total, F.lit(0.0)))).alias("r2"), F.avg(F.abs(F.try_divide(e, F.nullif(y, F.lit(0.0))))).alias("mape"))
+
+
+def holdout_fit(df: DataFrame, cols: list[str], target: str, weeks: int = 8, free: tuple[str, ...] = (), ridge: float = 1.0, prior: tuple[str, float, float] | None = None, week: str = "week_index") -> tuple[DataFrame, dict[str, float | None]]:
+    """Fit on all but the last weeks. (feature, coefficient, contribution, contribution_share) over all rows, and r2_train, r2_holdout, mape_holdout, n_train, n_holdout.
+
+    All weeks train if holding out would leave only the first.
+    """
+    ends = df.agg(F.min(week).alias("a"), F.max(week).alias("b")).first()
+    cut = ends.b - weeks if ends.b is not None and weeks and ends.b - weeks > ends.a else ends.b
+    train = F.col(week) <= F.lit(cut)
+    b = fit(df.filter(train), cols, target, free, ridge, prior)
+    told = predicted(df, b)
+    sums = told.agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in cols], F.count("*").alias("_n"), F.sum("predicted").alias("_total"), F.count(F.when(train, 1)).alias("_train")).first()
+    rows = [(c, v, v * (sums["_n"] if c == "intercept" else sums[c] or 0.0)) for c, v in b.items()]
+    total = sums["_total"] or 0.0
+    spark = df.sparkSession
+    coefficients = spark.createDataFrame([(*r, r[2] / total if total else None) for r in rows], "feature string, coefficient double, contribution double, contribution_share double")
+    inside, outside = accuracy(told.filter(train), target).first(), accuracy(told.filter(~train), target).first()
+    report = {"r2_train": inside.r2, "r2_holdout": outside.r2, "mape_holdout": outside.mape, "n_train": sums["_train"], "n_holdout": sums["_n"] - sums["_train"]}
+    return coefficients, report
+
+
+def compare_variables(df: DataFrame, candidates: list[str], controls: list[str], target: str, weeks: int = 8, limit: float = 10.0) -> DataFrame:
+    """The same model with each candidate in turn: its share, sign, inflation, holdout R squared and a verdict."""
+    out = []
+    for c in candidates:
+        coefficients, report = holdout_fit(df, [c, *controls], target, weeks)
+        own = coefficients.filter(F.col("feature") == c).first()  # a row for each feature
+        inflation = vif(df, [c, *controls])[c]
+        verdict = "wrong sign, unusable" if own.coefficient < 0 else "collinear, fragile" if inflation > limit else "well-conditioned"
+        out.append((c, own.contribution_share, "+" if own.coefficient >= 0 else "-", inflation, report["r2_holdout"], verdict))
+    return df.sparkSession.createDataFrame(out, "variable string, contribution_share double, sign string, vif double, r2_holdout double, verdict string")
+
+
+def prior_from_total(df: DataFrame, col: str, incremental: float, strength: float = 1.0) -> tuple[str, float, float] | None:
+    """The prior (column, mean, strength in rows) under which the column's contribution is the bridge's incremental total; None if the column has no mass."""
+    r = df.agg(F.sum(F.col(col).cast("double")).alias("s"), F.count("*").alias("n")).first()
+    return (col, incremental / r.s, strength * r.n) if r.s and r.s > 0 else None

@@ -3,7 +3,7 @@
 import pytest
 from harness import differences, duck
 
-from funnelspark.plans import audit, classifier  # noqa: F401  register their queries
+from funnelspark.plans import audit, classifier, fits  # noqa: F401  register their queries
 from funnelspark.plans.catalogue import ORACLE, QUERIES
 
 
