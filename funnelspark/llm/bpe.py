@@ -9,7 +9,8 @@ its bytes and ids and no row. Decoding looks ids up in the token-byte table, who
 size is the vocabulary's.
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded alike; a
-text of any length is encoded whole; an empty table gives an empty result.
+text of any length is encoded whole; ids are longs or text that reads as one; other
+columns, whatever their names, are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -75,7 +75,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-#: The other operators order by hashes, iterate or learn: tests hold them against plain versions.
+#: The others order by hashes, iterate or learn: tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
         WITH RECURSIVE w AS (

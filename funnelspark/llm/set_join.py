@@ -20,7 +20,9 @@ Documents are sets of word shingles; two link when
 
 Defined cases: null or blank texts are empty sets, linked with nothing; texts with
 fewer words than a shingle are one shingle; repeated rows and null ids count as
-documents of their own; an empty table gives an empty result.
+documents of their own; equal sets tie and share a class; texts of any length are read
+whole; ids are longs or text that reads as one; other columns, whatever their names, are
+left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ inputs of a score.
 Defined cases: null and empty texts score the share of toxic labels; without labels of
 both classes every score is that share (0 if there are none); without unseen rows of
 both classes every threshold is ``CUT``; a document labelled
-twice is toxic if one label says so; repeated rows score alike; an empty table gives
+twice is toxic if one label says so; repeated rows score alike, and so do ties; texts of any length are read whole; other
+columns, whatever their names, are left alone; an empty table gives
 an empty result.
 """
 
