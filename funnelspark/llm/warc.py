@@ -2,7 +2,10 @@
 
 An archive is a sequence of parts (archive string, part int, content binary), so that
 it can lie in a table on any store that Spark reaches; parts may end anywhere, inside
-a record too. ``export`` writes archives as files, ``archive_files`` reads files.
+a record too. ``archives`` adds a column whole, as its parts hold whole records: such
+parts are read where they lie, in any order, each from its start to its end, and only
+others travel to one task for each archive. ``export`` writes archives as files,
+``archive_files`` reads files.
 
 The reader takes an archive's parts in order, undoes gzip with one incremental zlib
 object per member and a bounded piece at a time, frames records by Content-Length as
@@ -44,7 +47,7 @@ PIECE, HEADER_BYTES = 1 << 20, 1 << 26
 #: Records carry no clock: all have this date.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PARTS = "archive string, part int, content binary"
+PARTS = "archive string, part int, content binary, whole boolean"
 RECORDS = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
@@ -75,7 +78,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number, part, held, size, payloads = TaskContext.get().partitionId(), 0, 0, [], 0, 0
 
     def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:06d}-{number:06d}"]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["archive", "part", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:06d}-{number:06d}"]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary()), pa.array([True])], ["archive", "part", "content", "whole"])
 
     for batch in batches:
         ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
@@ -175,12 +178,14 @@ class RecordReader:
 _RECORD_SCHEMA = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
 
-def _read(payloads: bool):
+def _read(payloads: bool, whole: bool):
+    """Reader of parts in order; of ``whole`` ones, each must begin and end with a record."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, now, out, size = None, None, [], 0
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                if reader is None or name != now:
+                if reader is None or whole or name != now:
                     if reader:
                         reader.close()
                     reader, now = RecordReader(), name
@@ -199,8 +204,13 @@ def _read(payloads: bool):
 
 
 def read(parts: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of archives given as parts, each archive read by one task from its start to its end."""
-    return parts.select("archive", "part", "content").repartition("archive").sortWithinPartitions("archive", "part").mapInArrow(_read(payloads), RECORDS)
+    """The records of archives given as parts, each part or, where its column whole is missing or not true, each archive read by one task from its start to its end."""
+    columns = ("archive", "part", "content")
+    together = lambda t: t.select(*columns).repartition("archive").sortWithinPartitions("archive", "part").mapInArrow(_read(payloads, False), RECORDS)
+    if "whole" not in parts.columns:
+        return together(parts)
+    alone = parts.filter("whole").select(*columns).mapInArrow(_read(payloads, True), RECORDS)
+    return alone.unionByName(together(parts.filter("not coalesce(whole, false)")))
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:

@@ -242,6 +242,16 @@ def test_warc_export_keeps_every_record_whatever_the_ids(spark, tmp_path):
     assert not [f for f in tmp_path.iterdir() if f.name.endswith(".part")]
 
 
+def test_warc_parts_are_read_alone_only_where_they_are_whole(spark):
+    one, two, three = (warc.record(f"urn:{i}", "http://x", b"payload" * i) for i in (1, 2, 3))
+    ids = lambda t: sorted(r.record_id for r in warc.read(t, payloads=False).collect())
+    cut = [("a", 0, one + two[:9], False), ("a", 1, two[9:], None), ("b", 1, three, True), ("b", 0, warc.record("urn:4", "http://x", b""), True)]
+    parts = spark.createDataFrame(cut, "archive string, part int, content binary, whole boolean")
+    assert ids(parts) == ["urn:1", "urn:2", "urn:3", "urn:4"] == ids(parts.drop("whole"))
+    with pytest.raises(Exception, match="inside a record"):
+        ids(spark.createDataFrame([("a", 0, one + two[:9], True)], parts.schema))
+
+
 def test_warc_reader_takes_any_pieces_and_rejects_damage():
     data = warc.record("urn:1", "http://x", b"payload") + warc.record("urn:2", "http://y", b"payload", "urn:1")
     for size in (1, 7, len(data)):
