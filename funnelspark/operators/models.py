@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,12 @@ def logit(df: DataFrame, features: list[str], label: str, key: str, c: float = 1
         return df.sparkSession.createDataFrame([], "feature string, coefficient double, odds_ratio double, auc double")
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
     model = LogisticRegression(featuresCol="x", regParam=1 / (c * n), standardization=False).fit(scaler.transform(train))
-    scored = model.transform(scaler.transform(held))
+    # not model.transform: the model holds its training summary and that the session, which can't be sent to tasks once an Observation was made in it
+    weights = F.array(*[F.lit(float(b)) for b in model.coefficients.toArray()])
+    margin = F.aggregate(F.zip_with(vector_to_array("x"), weights, lambda x, b: x * b), F.lit(float(model.intercept)), lambda a, x: a + x)
+    scored = scaler.transform(held).select("label", margin.alias("margin"))
     both = scored.agg(F.count_distinct("label")).first()[0] == 2
-    auc = BinaryClassificationEvaluator().evaluate(scored) if both else float("nan")
+    auc = BinaryClassificationEvaluator(rawPredictionCol="margin").evaluate(scored) if both else float("nan")
     out = [(f, float(b), float(np.exp(b)), float(auc)) for f, b in zip(features, model.coefficients.toArray(), strict=True)]
     out.sort(key=lambda r: -abs(r[1]))
     return df.sparkSession.createDataFrame(out, "feature string, coefficient double, odds_ratio double, auc double")

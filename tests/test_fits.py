@@ -60,3 +60,23 @@ def test_feature_hash(spark):
         want[n % P.DIM] = want.get(n % P.DIM, 0) + (1 if n >> 62 & 1 else -1)
     length = sum(v * v for v in want.values()) ** 0.5
     assert {x.i: round(x.w, 9) for x in got} == {k: round(v / length, 9) for k, v in want.items()}
+
+
+def test_logit_after_an_observation_in_the_session(spark):
+    from pyspark.sql import Observation
+
+    from funnelspark.operators import models
+
+    seen = Observation()
+    spark.range(5).observe(seen, M.F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5  # now the session can't be sent to tasks, as after op4
+    g = np.random.default_rng(1)
+    rows = [(i, float(x), float(z), bool(g.uniform() < 1 / (1 + np.exp(-2 * x)))) for i, (x, z) in enumerate(g.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "k long, u double, v double, y boolean")
+    out = {r.feature: r for r in models.logit(df, ["u", "v"], "y", "k").collect()}
+    held = {r.k for r in df.filter(M.F.pmod(M.F.xxhash64("k"), M.F.lit(1000)) < 300).collect()}
+    sd = np.array([r[1:3] for r in rows if r[0] not in held]).std(axis=0, ddof=1)
+    score = lambda r: sum(out[f].coefficient * r[i + 1] / sd[i] for i, f in enumerate("uv"))
+    good, bad = ([score(r) for r in rows if r[0] in held and r[3] is y] for y in (True, False))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert abs(out["u"].auc - auc) < 1e-9 and out["u"].coefficient > 1 and abs(out["v"].coefficient) < 0.5
