@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -373,6 +375,31 @@ def test_secret_scan_of_many_matches_and_overlaps(spark):
     assert clean == {0: "é ".join(["[secret]"] * 1000), 1: "[secret]" + " x" * 300, 2: "x"}
 
 
+def test_pairs_of_a_long_run_take_time_that_grows_with_it(spark):
+    word = "^" + "ab0" * 80_000 + "^"
+    begin = time.perf_counter()
+    got = spark.createDataFrame([(word,)], "y string").select(F.explode(secrets._places(F.col("y"))).alias("at")).groupBy("at").count().collect()
+    assert time.perf_counter() - begin < 20
+    code = [secrets.SYMBOLS.index(c) for c in word]
+    want = Counter(a * len(secrets.SYMBOLS) + b + 1 for a, b in zip(code, code[1:], strict=False))
+    assert {r["at"]: r["count"] for r in got} == want
+
+
+def test_cheaper_patterns_find_the_same(spark):
+    texts = ["", "a-b é漢字x 𠀀abc 😀abc١ _=+/ \tx\n", "token = abcde", "api_key: 'abcdef'", "Token==abcdef", "secret:abcde f", "passwd = \"a.b-c=\" x" + "k" * 20, "AKIA" + "Z" * 16 + " " + "0a" * 12, "x" * 19, "x" * 20 + "." + "y" * 21]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    held = lambda *a: F.transform(secrets._spans(F.col("t"), *a), lambda x: x["m"])
+    long = lambda c: F.filter(c, lambda m: F.length(F.regexp_replace(m, secrets.ASSIGN_HEAD, "")) >= 6)
+    row = df.select(
+        F.split("t", secrets.BETWEEN).alias("a"), F.split("t", r"[^\p{L}\p{N}+/_=-]+").alias("b"), held(secrets.CANDIDATE).alias("c"), plain("[A-Za-z0-9+/_=-]{20,}").alias("d"),
+        long(held(secrets.ASSIGN, secrets.ASSIGN_PART)).alias("e"), long(plain(secrets.ASSIGN)).alias("f"), held(secrets.HEX, secrets.CANDIDATE).alias("g"), plain(secrets.HEX).alias("h"), held(secrets.ACCESS, secrets.CANDIDATE).alias("i"), plain(secrets.ACCESS).alias("j"),
+    )
+    for r in row.collect():
+        assert (r.a, r.c, r.e, r.g, r.i) == (r.b, r.d, r.f, r.h, r.j)
+    assert sum(len(r.e) for r in row.collect()) == 3
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as pipeline
 
