@@ -150,6 +150,18 @@ def test_search_and_descent_run_until_they_converge(spark, monkeypatch):
     assert {r.vec_id for r in got} == {*range(90, 111)} - {100}
 
 
+def test_nearest_neighbours_settles_after_each_round_and_step(spark, monkeypatch):
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(60)]
+    did = []
+    write, settle = ann.Workspace.write, ann.Workspace.settle
+    monkeypatch.setattr(ann.Workspace, "write", lambda self, df, name="t": (did.append(name), write(self, df, name))[1])
+    monkeypatch.setattr(ann.Workspace, "settle", lambda self: (did.append("settle"), settle(self))[1])
+    ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    for name in ("graph", "beam"):
+        after = [i for i, x in enumerate(did) if x == name][1:]  # the first one is where rounds or steps start
+        assert after and all(did[i + 1] == "settle" for i in after)
+
+
 def test_url_rules_and_tree(spark):
     rules = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "com", "/fr/"))
     urls = ["http://Blog.Example.ORG/es/1?x", "https://a.org", "https://a.org/x#f", "http://borg/x", None, "no url", "http://x.com/de/1", "http://x.com/fr/1", "http://x.com/en/7"] + [f"http://h.com/de/{i}.html" for i in range(30)] + ["http://n.net/de/5.html"]
