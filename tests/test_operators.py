@@ -79,6 +79,13 @@ def test_html_products_and_prices():
     assert H.price_of("12,50") == 1250.0 and H.price_of("12,50", decimal_comma=True) == 12.5 and H.price_of(None) is None
 
 
+def test_html_keeps_references_that_are_cut():
+    page = H.parse_page('<title>a &amp;&lt;&#x27; b&amp</title><h1>x &am &notit; &copy</h1><a href="?a=1&copy=2">AT&T</a><script type="application/ld+json">{"@type": "A&amp;B"}</script> R&D')
+    assert (page["title"], page["h1"], page["text"]) == ("a &<' b&amp", "x &am &notit; &copy", "x &am &notit; &copy AT&T R&D")
+    assert page["json_ld"] == ['{"@type": "A&amp;B"}']
+    assert H.parse_page('<link rel="canonical" href="/p?a=1&copy=2&amp;b=3">')["canonical"] == "/p?a=1&copy=2&b=3"
+
+
 def test_conversations_load_without_optional_columns(spark):
     df = spark.createDataFrame([("s", "2", "q"), ("s", "1", None)], "session_id string, message_id string, question string")
     rows = R.load_conversations(df).orderBy("session_pos").collect()
