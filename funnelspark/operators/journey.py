@@ -121,18 +121,29 @@ def session_brands(mentions: DataFrame, events: DataFrame, converted: DataFrame)
     A conversion counts for one brand: of the session's branded behaviour the deepest,
     then the earliest position (nulls last), then the first brand by name.
     """
-    behave = F.col("event_type").isin(*BEHAVIOUR)
-    ev = events.filter(F.coalesce("brand", F.lit("")) != "")
-    seen = ev.groupBy("session_id", "brand").agg(
-        F.bool_or(F.col("event_type") == "cited").alias("cited"), F.bool_or(behave).alias("visited"), F.bool_or(behave & F.col("followed_agent_link")).alias("followed"), F.coalesce(F.max(F.when(behave, F.col("commerce_depth"))), F.lit(0)).cast("long").alias("max_depth")
+    ev = events.filter(F.coalesce("brand", F.lit("")) != "").select("session_id", "brand", "event_type", "commerce_depth", "position", "followed_agent_link")
+    rows = mentions.select("session_id", "brand", "mentioned", "unsolicited").unionByName(ev, allowMissingColumns=True)
+    won = converted.filter("converted").select("session_id", F.lit(True).alias("session_converted")).distinct()
+    return brand_relations(rows.join(won, "session_id", "left"))
+
+
+def brand_relations(rows: DataFrame, keep: tuple[str, ...] = (), sums: tuple[str, ...] = ()) -> DataFrame:
+    """As ``session_brands``, of rows that mention and visit at once and know whether their session converted (session_converted).
+
+    keep: further columns that the session determines; sums: columns to add up. Rows that lie by session stay there.
+    """
+    known = F.coalesce("brand", F.lit("")) != ""
+    behave = known & F.col("event_type").isin(*BEHAVIOUR)
+    depth, place = F.col("commerce_depth"), F.col("position")
+    order = F.struct(depth.isNull().alias("a"), (-depth).alias("b"), place.isNull().alias("c"), place.alias("d"))
+    yes = {"mentioned": F.col("mentioned"), "unsolicited": F.col("unsolicited"), "cited": known & (F.col("event_type") == "cited"), "visited": behave, "followed": behave & F.col("followed_agent_link"), "_won": F.col("session_converted")}
+    g = rows.groupBy("session_id", *keep, "brand").agg(
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in yes.items()], F.coalesce(F.max(F.when(behave, depth)), F.lit(0)).cast("long").alias("max_depth"), F.min(F.when(behave, order)).alias("_best"), *[F.sum(c).alias(c) for c in sums]
     )
-    first = Window.partitionBy("session_id").orderBy(F.desc("commerce_depth"), F.col("position").asc_nulls_last(), "brand")
-    top = ev.filter(behave).withColumn("r", F.row_number().over(first)).filter("r = 1 and commerce_depth > 0")
-    won = top.join(converted.filter("converted").select("session_id"), "session_id", "left_semi").select("session_id", "brand", F.lit(True).alias("converted"))
-    said = mentions.groupBy("session_id", "brand").agg(F.bool_or("mentioned").alias("mentioned"), F.bool_or("unsolicited").alias("unsolicited"))
-    out = said.join(seen, ["session_id", "brand"], "full").join(won, ["session_id", "brand"], "left")
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("mentioned", "unsolicited", "cited", "visited", "followed", "converted")]
-    return out.select("session_id", "brand", *flags, F.coalesce("max_depth", F.lit(0)).cast("long").alias("max_depth"))
+    first = F.min(F.when(F.col("_best").isNotNull(), F.struct("_best", "brand"))).over(Window.partitionBy("session_id"))
+    g = g.withColumn("_first", first)
+    won = F.coalesce(F.col("_won") & (F.col("_first.brand") == F.col("brand")) & (F.col("_first._best.b") < 0), F.lit(False))
+    return g.select("session_id", *keep, "brand", "mentioned", "unsolicited", "cited", "visited", "followed", won.alias("converted"), "max_depth", *sums)
 
 
 def depth_funnel(features: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,17 @@ from pyspark.sql import functions as F
 from funnelspark.functions import stats as S
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` cached while several passes read it, so that its plan runs once; one that is cached already stays so."""
+    mine = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    try:
+        yield df.persist() if mine else df
+    finally:
+        if mine:
+            df.unpersist()
+
+
 def week_index(df: DataFrame, week: str = "week") -> DataFrame:
     """Dense rank of the week from 0. The distinct weeks are ranked, not the rows."""
     weeks = df.select(week).distinct().withColumn("week_index", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(week)) - 1).cast("long"))
@@ -95,7 +108,8 @@ def vif(df: DataFrame, cols: list[str]) -> dict[str, float]:
 
 def two_stage(df: DataFrame, drivers: list[str], mediator: str, target: str, ridge: float = 1.0) -> dict[str, tuple[float, float, float]]:
     """Direct and indirect (through the mediator) effect of each driver, and the indirect share."""
-    first, second = fit(df, drivers, mediator, ridge=ridge), fit(df, [*drivers, mediator], target, ridge=ridge)
+    with held(df):
+        first, second = fit(df, drivers, mediator, ridge=ridge), fit(df, [*drivers, mediator], target, ridge=ridge)
     out = {}
     for d in drivers:
         direct, indirect = second[d], first[d] * second[mediator]
@@ -121,6 +135,11 @@ def holdout_fit(df: DataFrame, cols: list[str], target: str, weeks: int = 8, fre
 
     All weeks train if holding out would leave only the first.
     """
+    with held(df):
+        return _holdout_fit(df, cols, target, weeks, free, ridge, prior, week)
+
+
+def _holdout_fit(df: DataFrame, cols: list[str], target: str, weeks: int, free: tuple[str, ...], ridge: float, prior: tuple[str, float, float] | None, week: str) -> tuple[DataFrame, dict[str, float | None]]:
     ends = df.agg(F.min(week).alias("a"), F.max(week).alias("b")).first()
     cut = ends.b - weeks if ends.b is not None and weeks and ends.b - weeks > ends.a else ends.b
     train = F.col(week) <= F.lit(cut)
@@ -139,12 +158,13 @@ def holdout_fit(df: DataFrame, cols: list[str], target: str, weeks: int = 8, fre
 def compare_variables(df: DataFrame, candidates: list[str], controls: list[str], target: str, weeks: int = 8, limit: float = 10.0) -> DataFrame:
     """The same model with each candidate in turn: its share, sign, inflation, holdout R squared and a verdict."""
     out = []
-    for c in candidates:
-        coefficients, report = holdout_fit(df, [c, *controls], target, weeks)
-        own = coefficients.filter(F.col("feature") == c).first()  # a row for each feature
-        inflation = vif(df, [c, *controls])[c]
-        verdict = "wrong sign, unusable" if own.coefficient < 0 else "collinear, fragile" if inflation > limit else "well-conditioned"
-        out.append((c, own.contribution_share, "+" if own.coefficient >= 0 else "-", inflation, report["r2_holdout"], verdict))
+    with held(df):
+        for c in candidates:
+            coefficients, report = holdout_fit(df, [c, *controls], target, weeks)
+            own = coefficients.filter(F.col("feature") == c).first()  # a row for each feature
+            inflation = vif(df, [c, *controls])[c]
+            verdict = "wrong sign, unusable" if own.coefficient < 0 else "collinear, fragile" if inflation > limit else "well-conditioned"
+            out.append((c, own.contribution_share, "+" if own.coefficient >= 0 else "-", inflation, report["r2_holdout"], verdict))
     return df.sparkSession.createDataFrame(out, "variable string, contribution_share double, sign string, vif double, r2_holdout double, verdict string")
 
 

@@ -22,11 +22,11 @@ def category_weekly(sessions: DataFrame, dims: list[str]) -> DataFrame:
     return g.withColumn("conversion_rate", S.ratio(F.col("n_converted"), F.col("n_sessions"), 4))
 
 
-def brand_weekly(relations: DataFrame, category: DataFrame, dims: list[str]) -> DataFrame:
-    """Per cell and brand of session-brand relations: counts, share of voice, exposure and visit rates; ``category`` gives n_sessions of the cell."""
+def brand_weekly(relations: DataFrame, category: DataFrame, dims: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """Per cell and brand of session-brand relations: counts, share of voice, exposure and visit rates, and the ``sums`` added up; ``category`` gives n_sessions of the cell."""
     n = lambda c: F.count(F.when(F.col(c), 1))
     names = {"mentioned": "n_sessions_mentioned", "visited": "n_sessions_visited", "followed": "n_sessions_followed", "converted": "n_sessions_converted"}
-    g = relations.groupBy(*dims, "brand").agg(*[n(c).alias(a) for c, a in names.items()], F.count(F.when(F.col("mentioned") & F.col("visited"), 1)).alias("n_visited_exposed"))
+    g = relations.groupBy(*dims, "brand").agg(*[n(c).alias(a) for c, a in names.items()], F.count(F.when(F.col("mentioned") & F.col("visited"), 1)).alias("n_visited_exposed"), *[F.sum(c).alias(c) for c in sums])
     g = g.join(category.select(*dims, F.col("n_sessions").alias("n_sessions_category")), dims, "left")
     return rates(g, dims).withColumn("visit_given_exposure", S.ratio(F.col("n_visited_exposed"), F.col("n_sessions_mentioned"), 4))
 

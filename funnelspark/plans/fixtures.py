@@ -65,6 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part that are sorted or grouped in one task: its memory doesn't grow with the table.
+PART = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys into parts of about PART of its ``rows``, which adaptive execution leaves as they are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART)), *keys)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     kind = F.col("kind")

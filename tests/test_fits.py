@@ -80,3 +80,23 @@ def test_logit_after_an_observation_in_the_session(spark):
     good, bad = ([score(r) for r in rows if r[0] in held and r[3] is y] for y in (True, False))
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
     assert abs(out["u"].auc - auc) < 1e-9 and out["u"].coefficient > 1 and abs(out["v"].coefficient) < 0.5
+
+
+def test_fits_run_the_plan_of_their_rows_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @M.F.udf("double")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    rows = [(w, float(w % 7), float(w % 5), float(3 * (w % 7) + w % 3)) for w in range(60)]
+    df = spark.createDataFrame(rows, "week_index long, x double, z double, y double").withColumn("x", counted.asNondeterministic()("x"))
+    assert len(M.compare_variables(df, ["x", "z"], [], "y", 8).collect()) == 2 and runs.value == 60
+    assert set(M.two_stage(df, ["x"], "z", "y")) == {"x"} and runs.value == 120
+    assert not df.storageLevel.useMemory  # it was let go
+    with M.held(df.persist()) as d:
+        assert d is df
+    assert df.storageLevel.useMemory
+    df.unpersist()
+
