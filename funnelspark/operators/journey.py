@@ -153,9 +153,10 @@ def depth_funnel(features: DataFrame) -> DataFrame:
 
 def leaderboard(relations: DataFrame, top: int = 10) -> DataFrame:
     """Brands by sessions that recommend them, then that visit them; conversion_rate of the recommended sessions."""
-    n = lambda c: F.count_distinct(F.when(F.col(c), F.col("session_id")))
-    rec = F.count_distinct(F.when(F.col("mentioned") & F.col("session_converted"), F.col("session_id")))
-    rows = relations.groupBy("brand").agg(n("mentioned").alias("recommended"), n("visited").alias("visited"), n("followed").alias("followed"), rec.alias("won"))
+    flags = {c: F.col(c) for c in ("mentioned", "visited", "followed")} | {"won": F.col("mentioned") & F.col("session_converted")}
+    each = relations.groupBy("session_id", "brand").agg(*[F.bool_or(c & F.col("session_id").isNotNull()).alias(n) for n, c in flags.items()])
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    rows = each.groupBy("brand").agg(n("mentioned").alias("recommended"), n("visited").alias("visited"), n("followed").alias("followed"), n("won").alias("won"))
     return rows.withColumn("conversion_rate", S.ratio(F.col("won"), F.col("recommended"), 4)).drop("won").orderBy(F.desc("recommended"), F.desc("visited"), "brand").limit(top)
 
 

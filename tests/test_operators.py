@@ -55,6 +55,13 @@ def test_conversion_goes_to_the_deepest_brand(spark):
     assert rows[("s", "C")].mentioned and not rows[("s", "C")].visited and rows[("t", "A")].cited
 
 
+def test_leaderboard_counts_each_session_once(spark):
+    rel = spark.createDataFrame([("s", "A", True, True, False, True), ("s", "A", True, False, False, True), ("t", "A", True, None, False, False), (None, "B", True, True, True, True)], "session_id string, brand string, mentioned boolean, visited boolean, followed boolean, session_converted boolean")
+    board = J.leaderboard(rel)
+    assert [tuple(r) for r in board.collect()] == [("A", 2, 1, 0, 0.5), ("B", 0, 0, 0, 0.0)]
+    assert "Expand" not in board._jdf.queryExecution().optimizedPlan().toString()  # no copy of the rows for each count
+
+
 def test_urls(spark):
     u = U.parse_url(F.lit("HTTPS://www.Shop.co.uk/A/B?Q=1#x"))
     assert list(one(spark, u["scheme"], u["host"], u["registrable"], u["core"], u["subdomain"], u["path"], u["query"])) == ["https", "www.shop.co.uk", "shop.co.uk", "shop", "", "/a/b", "q=1"]
