@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from funnelspark.operators.mmm import held
+
 
 def logit(df: DataFrame, features: list[str], label: str, key: str, c: float = 1.0, test: float = 0.3) -> DataFrame:
     """feature, coefficient, odds_ratio, auc of a ridge logit on z-scored features; the split is by hash of the key."""
@@ -46,19 +48,41 @@ def topics(df: DataFrame, vector: str, key: str, k: int, seed: int = 42) -> Data
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("topic"))
 
 
-def _forward_backward(start, move, emit, seq):
-    n, k = len(seq), len(start)
-    a, scale, b = np.zeros((n, k)), np.zeros(n), np.ones((n, k))
-    a[0] = start * emit[:, seq[0]]
-    scale[0] = a[0].sum()
-    a[0] /= scale[0]
-    for t in range(1, n):
-        a[t] = (a[t - 1] @ move) * emit[:, seq[t]]
-        scale[t] = a[t].sum()
-        a[t] /= scale[t]
-    for t in range(n - 2, -1, -1):
-        b[t] = move @ (emit[:, seq[t + 1]] * b[t + 1]) / scale[t + 1]
-    return a, b, scale
+#: Symbols of the sequences of one length that are worked on at once.
+BLOCK = 500_000
+
+
+def _blocks(sequences: Iterable, weights: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of equal length as a matrix, with their weights."""
+    by_length: dict[int, list] = {}
+    for seq, w in zip(sequences, weights, strict=True):
+        by_length.setdefault(len(seq), []).append((seq, w))
+    for n, rows in by_length.items():
+        step = max(1, BLOCK // max(1, n))
+        for at in range(0, len(rows) if n else 0, step):
+            some = rows[at : at + step]
+            yield np.array([r[0] for r in some], int), np.array([r[1] for r in some], float)
+
+
+def _expected(start, move, emit, seq, weight):
+    """Expected starts, moves, emissions and the log likelihood of sequences (rows of ``seq``), by forward and backward sums; ``weight`` is how often each occurs."""
+    (rows, n), k = seq.shape, len(start)
+    out = emit.T[seq]  # rows x n x k
+    a, scale = np.zeros((rows, n, k)), np.zeros((rows, n))
+    for t in range(n):
+        a[:, t] = (start if t == 0 else a[:, t - 1] @ move) * out[:, t]
+        scale[:, t] = a[:, t].sum(1)
+        a[:, t] /= scale[:, t, None]
+    o, x, b = np.zeros((emit.shape[1], k)), np.zeros((k, k)), np.ones((rows, k))
+    for t in range(n - 1, -1, -1):
+        g = a[:, t] * b
+        g *= (weight / g.sum(1))[:, None]
+        np.add.at(o, seq[:, t], g)
+        if t:
+            ahead = out[:, t] * b / scale[:, t, None]
+            x += (a[:, t - 1] * weight[:, None]).T @ ahead * move
+            b = ahead @ move.T
+    return np.concatenate([g.sum(0), x.ravel(), o.T.ravel(), [(np.log(scale).sum(1) * weight).sum()]])
 
 
 class Hmm:
@@ -76,36 +100,27 @@ class Hmm:
         self.emit = emit / emit.sum(1, keepdims=True)
 
     def fit(self, sequences: DataFrame, col: str = "seq", rounds: int = 50, tol: float = 1e-4) -> Hmm:
+        each = sequences.filter(F.size(col) > 0).groupBy(F.col(col).alias("seq")).agg(F.count("*").alias("n"))
+        with held(each):  # equal sequences are worked on once, and the sequences made once
+            return self._fit(each, rounds, tol)
+
+    def _fit(self, each: DataFrame, rounds: int, tol: float) -> Hmm:
         last = -np.inf
         for _ in range(rounds):
             start, move, emit, k, m = self.start, self.move, self.emit, self.k, self.m
 
             def e_step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                s, x, o, ll = np.zeros(k), np.zeros((k, k)), np.zeros((k, m)), 0.0  # noqa: B023
+                total = np.zeros(k + k * k + k * m + 1)  # noqa: B023
                 for part in parts:
-                    for seq in part[col]:
-                        seq = np.asarray(seq, int)
-                        if not len(seq):
-                            continue
-                        a, b, scale = _forward_backward(start, move, emit, seq)  # noqa: B023
-                        g = a * b
-                        g /= g.sum(1, keepdims=True)
-                        s += g[0]
-                        np.add.at(o.T, seq, g)
-                        for t in range(len(seq) - 1):
-                            q = a[t][:, None] * move * (emit[:, seq[t + 1]] * b[t + 1])[None] / scale[t + 1]  # noqa: B023
-                            x += q
-                        ll += np.log(scale).sum()
-                yield pd.DataFrame({"s": [s.tolist()], "x": [x.ravel().tolist()], "o": [o.ravel().tolist()], "ll": [ll]})
-
-            sums = sequences.select(col).mapInPandas(e_step, "s array<double>, x array<double>, o array<double>, ll double")
-            flat = sums.select("ll", F.posexplode(F.concat("s", "x", "o")).alias("i", "v"))
-            total = flat.groupBy("i").agg(F.sum("v").alias("v")).collect()
-            ll = sums.agg(F.sum("ll")).first()[0]
-            v = np.zeros(k + k * k + k * m)
-            for r in total:
+                    for seq, n in _blocks(part["seq"], part["n"]):
+                        total += _expected(start, move, emit, seq, n)  # noqa: B023
+                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+            sums = each.mapInPandas(e_step, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+            v = np.zeros(k + k * k + k * m + 1)
+            for r in sums:
                 v[r.i] = r.v
-            v += 1e-6
+            ll, v = v[-1] if sums else None, v[:-1] + 1e-6
             self.start = v[:k] / v[:k].sum()
             self.move = v[k : k + k * k].reshape(k, k)
             self.move /= self.move.sum(1, keepdims=True)
@@ -138,6 +153,8 @@ class Hmm:
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                yield pd.DataFrame({key: part[key], "path": [self.viterbi(x) for x in part[col]]})
+                seqs = [tuple(x) for x in part[col]]
+                paths = {x: self.viterbi(x) for x in set(seqs)}  # equal ones once
+                yield pd.DataFrame({key: part[key], "path": [paths[x] for x in seqs]})
 
         return sequences.select(key, col).mapInPandas(run, f"`{key}` {kind}, path array<int>")

@@ -100,3 +100,45 @@ def test_fits_run_the_plan_of_their_rows_once(spark):
     assert df.storageLevel.useMemory
     df.unpersist()
 
+
+def _plain_step(h, seqs):
+    s, x, o, ll = np.zeros(h.k), np.zeros((h.k, h.k)), np.zeros((h.k, h.m)), 0.0
+    for q in seqs:
+        n = len(q)
+        a, b = np.zeros((n, h.k)), np.ones((n, h.k))
+        for t in range(n):
+            a[t] = (h.start if t == 0 else a[t - 1] @ h.move) * h.emit[:, q[t]]
+        for t in range(n - 2, -1, -1):
+            b[t] = h.move @ (h.emit[:, q[t + 1]] * b[t + 1])
+        p = a[-1].sum()
+        s += a[0] * b[0] / p
+        for t in range(n):
+            o[:, q[t]] += a[t] * b[t] / p
+            if t:
+                x += np.outer(a[t - 1], h.emit[:, q[t]] * b[t]) * h.move / p
+        ll += np.log(p)
+    return s + 1e-6, x + 1e-6, o + 1e-6
+
+
+def test_hmm_equals_plain_sums_and_makes_its_sequences_once(spark):
+    from funnelspark.operators import models
+
+    g = np.random.default_rng(3)
+    seqs = [g.integers(0, 4, n).tolist() for n in [1, 2, 2, 5, 9, 9, 30] * 4] + [[0, 1]] * 20
+    runs = spark.sparkContext.accumulator(0)
+
+    @M.F.udf("array<int>")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    df = spark.createDataFrame([(i, q) for i, q in enumerate([*seqs, []])], "k long, seq array<int>").withColumn("seq", counted.asNondeterministic()("seq"))
+    want = models.Hmm(3, 4)
+    for _ in range(4):
+        s, x, o = _plain_step(want, seqs)
+        want.start, want.move, want.emit = s / s.sum(), x / x.sum(1, keepdims=True), o / o.sum(1, keepdims=True)
+    got = models.Hmm(3, 4).fit(df, rounds=4, tol=0.0)
+    assert runs.value == len(seqs) + 1
+    assert all(np.allclose(getattr(got, c), getattr(want, c), rtol=1e-9, atol=1e-12) for c in ("start", "move", "emit"))
+    paths = {r.k: list(r.path) for r in got.decode(df, "k").collect()}
+    assert all(paths[i] == want.viterbi(q) for i, q in enumerate(seqs)) and paths[len(seqs)] == []
