@@ -186,7 +186,7 @@ def audit_events(events: DataFrame, pages: DataFrame, products: DataFrame, sessi
 
 def recovered(parts: DataFrame, log: DataFrame, products: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
     """Pages of the commit log that no part file has, and the products of committed pages only."""
-    return log.join(parts.select(page), page, "left_anti"), products.join(log.select(page).distinct(), page, "left_semi")
+    return log.join(parts.select(page), page, "left_anti"), products.join(log.select(page), page, "left_semi")
 
 
 def repaired(pages: DataFrame, fixes: DataFrame, url: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from funnelspark.operators import audit as A
 from funnelspark.operators import journey as J
 from funnelspark.plans.catalogue import KINDS, query
-from funnelspark.plans.fixtures import EV_SQL, events, table
+from funnelspark.plans.fixtures import EV_SQL, dealt, events, table
 
 _EV = f"WITH {EV_SQL} "
 
@@ -179,8 +179,9 @@ def q_audit_events(spark, sf):
 )
 def q_recovery(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page"), "o_orderstatus")
-    products = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"))
-    lost, kept = A.recovered(o.filter("page % 3 = 0"), o.filter("o_orderstatus <> 'P'"), products, "page")
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"))
+    n = items.count()
+    lost, kept = A.recovered(o.filter("page % 3 = 0"), dealt(o.filter("o_orderstatus <> 'P'"), n, "page"), dealt(items, n, "page"), "page")
     return lost.select(F.lit("page").alias("kind"), "page", F.lit(0).alias("item")).union(kept.select(F.lit("product"), "page", "item"))
 
 

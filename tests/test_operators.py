@@ -134,3 +134,17 @@ def test_stream_commits_each_url_once(spark, tmp_path):
         q = ingest.commit_pages(ingest.read_files(spark, src, "url string, n long"), out, str(tmp_path / "check"))
         q.awaitTermination(120)
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_parts_grow_in_number_not_in_rows(spark):
+    from funnelspark.plans.fixtures import PART, dealt
+
+    df = spark.range(100)
+    assert dealt(df, 10 * PART + 1, "id").rdd.getNumPartitions() == 11  # few bytes, and yet not joined by adaptive execution
+    assert dealt(df, 1, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "page long")
+    from funnelspark.operators import audit as A
+
+    lost, kept = A.recovered(spark.createDataFrame([(2,)], "page long"), twice, spark.createDataFrame([(1, 7), (3, 8)], "page long, item int"), "page")
+    assert [r.page for r in lost.collect()] == [1, 1] and [tuple(r) for r in kept.collect()] == [(1, 7)]
+    assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()  # a semi join needs no distinct side
