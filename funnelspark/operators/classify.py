@@ -241,6 +241,12 @@ def classify(pages: DataFrame, extra_terms: tuple[str, ...] = ()) -> DataFrame:
     return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 
+def classify_urls(rows: DataFrame) -> DataFrame:
+    """``rows`` with the class of their ``url`` alone: each distinct url is classified once."""
+    each = classify(rows.select("url").distinct()).withColumnRenamed("url", "_class_url")
+    return rows.join(each, rows["url"].eqNullSafe(each["_class_url"]), "left").drop("_class_url")
+
+
 def confident(classified: DataFrame, least: float) -> DataFrame:
     """Pages under the least confidence become unknown."""
     weak = F.col("confidence") < least

@@ -181,7 +181,7 @@ RESULT = ["page_category", "page_subtype", "seller_type", "funnel_stage", "confi
 
 @query(_classified(_BARE))
 def q_classify_url(spark, sf):
-    return C.classify(_urls(spark, sf)).select("event_id", *RESULT, F.array_join("signals", ",").alias("signals"))
+    return C.classify_urls(_urls(spark, sf)).select("event_id", *RESULT, F.array_join("signals", ",").alias("signals"))
 
 
 @query(_classified(_PAGES))

@@ -32,3 +32,12 @@ def test_known_pages(spark):
 @pytest.mark.parametrize(("url", "proved"), [("https://a.com/basket.jsp", True), ("https://a.com/?ref_=nav_cart", False), ("https://a.com/hz/wishlist/x", True), ("https://a.com/checkout-now", False)])
 def test_transactional_urls(spark, url, proved):
     assert spark.createDataFrame([(url,)], "u string").select(C.is_transactional_url(C.F.col("u"))).first()[0] is proved
+
+
+def test_each_url_is_classified_once(spark):
+    urls = ["https://www.cerave.com/", "https://www.cerave.com/", None, None, "", "https://example.com/cart/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "id long, url string")
+    plain, once = C.classify(rows), C.classify_urls(rows)
+    assert once.columns == plain.columns and sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+    assert once.filter("url is null").count() == 2
+    assert "Aggregate [url" in once._jdf.queryExecution().optimizedPlan().toString()
